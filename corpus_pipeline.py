@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from helixframe.llm import bpe, langid, secrets
+from helixframe.llm import bpe, langid, mixing, secrets, simhash
 from helixframe.llm.common import table
 
 #: A document stays if its leading language holds this share of its words at least.
@@ -17,17 +17,33 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return langid.keep_identified(docs, LEAST_SHARE)
 
 
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near-duplicates, the one with the smallest doc_id."""
+    return simhash.drop_near_duplicates(docs)
+
+
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, their secrets replaced by a mark."""
     return secrets.redact(docs)
 
 
+def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents as often as the target weights take them."""
+    return mixing.mix(docs, mixing.domain_of(F.col("source")), mixing.RECIPE).drop("_epoch")
+
+
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token counts and digests of each document."""
     return bpe.digests(docs)
 
 
-STAGES = [("language_id", language), ("secret_scan", secret_scan), ("bpe", encode)]
+STAGES = [
+    ("language_id", language),
+    ("simhash_dedup", near_duplicates),
+    ("secret_scan", secret_scan),
+    ("mixing", mix),
+    ("bpe", encode),
+]
 #: Learned models and byte-pair merges have no SQL form; tests hold the stages against brute force.
 ORACLE_SQL = None
 

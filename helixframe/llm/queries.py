@@ -4,12 +4,14 @@ from __future__ import annotations
 
 import corpus_pipeline
 
-from . import bpe, langid, secrets
+from . import bpe, langid, mixing, secrets, simhash
 
 QUERIES = {
+    "op4_simhash_gray": simhash.op4_simhash_gray,
     "op5_language_mixture": langid.op5_language_mixture,
     "op8_bpe_roundtrip": bpe.op8_bpe_roundtrip,
     "op9_secret_scan": secrets.op9_secret_scan,
+    "op10_hierarchical_mix": mixing.op10_hierarchical_mix,
     "pipeline": corpus_pipeline.run,
 }
 ORACLES: dict[str, str] = {}
