@@ -4,9 +4,11 @@ from __future__ import annotations
 
 import corpus_pipeline
 
-from . import bpe, langid, mixing, secrets, simhash
+from . import ann, bpe, langid, mixing, secrets, simhash, toxicity
 
 QUERIES = {
+    "op1_toxicity_mil": toxicity.op1_toxicity_mil,
+    "op3_adaptive_scan": ann.op3_adaptive_scan,
     "op4_simhash_gray": simhash.op4_simhash_gray,
     "op5_language_mixture": langid.op5_language_mixture,
     "op8_bpe_roundtrip": bpe.op8_bpe_roundtrip,
