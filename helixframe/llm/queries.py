@@ -4,13 +4,14 @@ from __future__ import annotations
 
 import corpus_pipeline
 
-from . import ann, bpe, langid, mixing, secrets, simhash, toxicity
+from . import ann, bpe, embdedup, langid, mixing, secrets, simhash, toxicity
 
 QUERIES = {
     "op1_toxicity_mil": toxicity.op1_toxicity_mil,
     "op3_adaptive_scan": ann.op3_adaptive_scan,
     "op4_simhash_gray": simhash.op4_simhash_gray,
     "op5_language_mixture": langid.op5_language_mixture,
+    "op6_int8_tiles": embdedup.op6_int8_tiles,
     "op8_bpe_roundtrip": bpe.op8_bpe_roundtrip,
     "op9_secret_scan": secrets.op9_secret_scan,
     "op10_hierarchical_mix": mixing.op10_hierarchical_mix,
