@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import corpus_pipeline
 
-from . import ann, bpe, embdedup, langid, mixing, secrets, simhash, toxicity
+from . import ann, bpe, embdedup, langid, mixing, passages, secrets, simhash, toxicity
 
 QUERIES = {
     "op1_toxicity_mil": toxicity.op1_toxicity_mil,
@@ -12,6 +12,7 @@ QUERIES = {
     "op4_simhash_gray": simhash.op4_simhash_gray,
     "op5_language_mixture": langid.op5_language_mixture,
     "op6_int8_tiles": embdedup.op6_int8_tiles,
+    "op7_collinear_chains": passages.op7_collinear_chains,
     "op8_bpe_roundtrip": bpe.op8_bpe_roundtrip,
     "op9_secret_scan": secrets.op9_secret_scan,
     "op10_hierarchical_mix": mixing.op10_hierarchical_mix,
