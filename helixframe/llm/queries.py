@@ -4,10 +4,11 @@ from __future__ import annotations
 
 import corpus_pipeline
 
-from . import ann, bpe, embdedup, langid, mixing, passages, secrets, simhash, toxicity
+from . import ann, bpe, embdedup, langid, mixing, passages, secrets, simhash, toxicity, urlfilter
 
 QUERIES = {
     "op1_toxicity_mil": toxicity.op1_toxicity_mil,
+    "op2_url_interval_join": urlfilter.op2_url_interval_join,
     "op3_adaptive_scan": ann.op3_adaptive_scan,
     "op4_simhash_gray": simhash.op4_simhash_gray,
     "op5_language_mixture": langid.op5_language_mixture,
@@ -18,4 +19,4 @@ QUERIES = {
     "op10_hierarchical_mix": mixing.op10_hierarchical_mix,
     "pipeline": corpus_pipeline.run,
 }
-ORACLES: dict[str, str] = {}
+ORACLES = {"op2_url_interval_join": urlfilter.ORACLE}
