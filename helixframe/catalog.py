@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from .plans import base, learning, modeling
+
 FLAGSHIP = "fingerprint_all"
-QUERIES: dict = {}
-ORACLES: dict = {}
+QUERIES: dict = {**base.QUERIES, **learning.QUERIES, **modeling.QUERIES}
+ORACLES: dict[str, str] = {**base.ORACLES, **learning.ORACLES, **modeling.ORACLES}
