@@ -51,6 +51,12 @@ def block(key: Column, i: int) -> Column:
     return F.translate(F.md5(F.concat(key.cast("string"), F.lit(f":{i}"))), "0123456789abcdef", "ACGTACGTACGTACGT")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """df over all cores if it has fewer partitions: a variant's features cost far more than moving its few bytes."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def from_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A variant for each order: substitutions, microsatellites, insertions of runs, indels and ambiguous bases."""
     k = F.col("o_orderkey")
@@ -67,7 +73,7 @@ def from_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
         .when(k % 5 == 3, F.concat("ref_allele", F.lit("AAAAAAA")))
         .otherwise(F.substr(other, F.lit(1), (1 + k % 9).cast("int")))
     )
-    orders = spark.read.parquet(f"{sf_dir}/orders.parquet").select("o_orderkey", "o_orderstatus")
+    orders = spread(spark.read.parquet(f"{sf_dir}/orders.parquet").select("o_orderkey", "o_orderstatus"))
     return (
         orders.withColumn("ref_allele", ref)
         .withColumn("alt_allele", alt)
