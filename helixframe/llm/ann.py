@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import small_batches, table
+from .common import cut, small_batches, table
 from .vectors import centroids, matrix, nearest, sample, unpack, usable
 
 #: Rows of a list on average, most lists, rows of a block of candidates and of queries, components in a column block.
@@ -34,6 +34,10 @@ LIST_ROWS, MOST_LISTS, BLOCK_ROWS, QUERY_ROWS, COLUMNS = 512, 1024, 1024, 1024,
 RECALL, CERTAINTY, BOUND_ROWS, LOOSE = 0.975, 2.4, 4096, 2
 
 
+#: One of so many probed lists is scanned in the first round.
+FIRST_LISTS = 8
+
+
 @dataclass
 class Index:
     """What all tasks share, of bounded size: centroids, sizes of the lists, rotation and the sample for first bounds."""
@@ -111,7 +115,7 @@ def listed(vectors: DataFrame, index: Index) -> DataFrame:
 
 
 def probing(queries: DataFrame, index: Index) -> DataFrame:
-    """(vec_id, vec, bound, list): each query once for every list it probes."""
+    """(vec_id, vec, bound, list, nth): each query once for every list it probes, the nearest list first."""
     made = queries.sparkSession.sparkContext.broadcast(index)
 
     def run(batches):
@@ -127,11 +131,12 @@ def probing(queries: DataFrame, index: Index) -> DataFrame:
             take = np.maximum(ix.probes, held.sum(1) + 1).clip(max=order.shape[1])
             bound = first_bounds(x, order, take, ix)
             row = np.repeat(np.arange(len(x)), take)
+            nth = np.arange(len(row)) - np.repeat(np.cumsum(take) - take, take)
             chosen = np.concatenate([o[:t] for o, t in zip(order, take)])
             packed = np.array([r.tobytes() for r in x.astype(np.float32)], dtype=object)
-            yield pa.RecordBatch.from_arrays([ids.take(pa.array(row)), pa.array(packed[row], type=pa.binary()), pa.array(bound[row]), pa.array(chosen.astype(np.int32))], names=["vec_id", "vec", "bound", "list"])
+            yield pa.RecordBatch.from_arrays([ids.take(pa.array(row)), pa.array(packed[row], type=pa.binary()), pa.array(bound[row]), pa.array(chosen.astype(np.int32)), pa.array(nth.astype(np.int32))], names=["vec_id", "vec", "bound", "list", "nth"])
 
-    return queries.select("vec_id", "embedding").mapInArrow(run, "vec_id long, vec binary, bound double, list int")
+    return queries.select("vec_id", "embedding").mapInArrow(run, "vec_id long, vec binary, bound double, list int, nth int")
 
 
 def first_bounds(x: np.ndarray, order: np.ndarray, take: np.ndarray, index: Index) -> np.ndarray:
@@ -216,15 +221,15 @@ def search(vectors: DataFrame, queries: DataFrame, k: int, recall: float = RECAL
     return search_usable(usable(vectors), usable(queries), k, recall)
 
 
-def search_usable(vectors: DataFrame, queries: DataFrame, k: int, recall: float = RECALL) -> DataFrame:
+def ranked(found: DataFrame, k: int) -> DataFrame:
+    best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
+
+
+def in_lists(asked: DataFrame, vectors: DataFrame, index: Index) -> DataFrame:
+    """(query_id, vec_id, score): the best of each block of the lists that are asked."""
     spark = vectors.sparkSession
-    small_batches(spark, 4096)
-    schema = "query_id long, rank int, vec_id long, score double"
-    index = build(vectors, k, recall)
-    if index is None:
-        return spark.createDataFrame([], schema)
     made = spark.sparkContext.broadcast(index)
-    asked = probing(queries, index)
     per_list = asked.groupBy("list").count().collect()  # at most MOST_LISTS
     rows = [(int(r["list"]), int(index.blocks[r["list"]]), -(-r["count"] // QUERY_ROWS)) for r in per_list if index.blocks[r["list"]]]
     dealt = spark.createDataFrame(rows, "list int, blocks int, asks int")
@@ -234,9 +239,28 @@ def search_usable(vectors: DataFrame, queries: DataFrame, k: int, recall: float
     asked = asked.join(dealt, "list").select(
         "list", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.pmod(F.xxhash64("vec_id"), F.col("asks")).cast("int").alias("ask"), "vec_id", "vec", "bound"
     )
-    found = candidates.unionByName(asked).groupBy("list", "block", "ask").applyInPandas(lambda g: within(g, made.value), "query_id long, vec_id long, score double")
-    best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    return candidates.unionByName(asked).groupBy("list", "block", "ask").applyInPandas(lambda g: within(g, made.value), "query_id long, vec_id long, score double")
+
+
+def search_usable(vectors: DataFrame, queries: DataFrame, k: int, recall: float = RECALL) -> DataFrame:
+    """search() of vectors that all take part.
+
+    The nearest lists are scanned first; a query's k-th best there bounds the scan of its other lists, so what
+    a query returns does not grow with the lists.
+    """
+    spark = vectors.sparkSession
+    small_batches(spark, 4096)
+    index = build(vectors, k, recall)
+    if index is None:
+        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+    asked = probing(queries, index)
+    near = -(-index.probes // FIRST_LISTS)
+    first = cut(ranked(in_lists(asked.where(F.col("nth") < near), vectors, index), k))
+    reached = first.where(F.col("rank") == k).select(F.col("query_id").alias("vec_id"), F.col("score").alias("kth"))
+    rest = asked.where(F.col("nth") >= near).join(reached, "vec_id", "left")
+    rest = rest.withColumn("bound", F.greatest("bound", F.coalesce("kth", "bound"))).drop("kth")
+    found = first.select("query_id", "vec_id", "score").unionByName(in_lists(rest, vectors, index))
+    return ranked(found, k).select("query_id", "rank", "vec_id", "score")
 
 
 def op3_adaptive_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
