@@ -155,7 +155,8 @@ def mix(docs: DataFrame, domain: Column, recipe: Recipe, epoch: str = "_epoch")
     docs: doc_id, text, lang, source; all columns stay as they are.  domain: a column of docs' columns.
     """
     taken = plan(docs, domain, recipe)
-    out = keyed(docs, domain).join(taken, LEAF_COLUMNS)
+    # plan() refuses more than MOST_LEAVES rows of three names and numbers, so they can go to every task
+    out = keyed(docs, domain).join(F.broadcast(taken), LEAF_COLUMNS)
     at = place(F.col("_whole"), recipe.seed)
     within = F.coalesce((at < F.col("_cut_place")) | (at == F.col("_cut_place")) & (F.col("_id") < F.col("_cut_id")), F.lit(False))
     has_words = F.coalesce(F.col("text").rlike(r"\S"), F.lit(False))
