@@ -16,9 +16,9 @@ def literal_map(values: dict) -> Column:
 
 
 def length_change(ref: Column, alt: Column) -> Column:
-    """Change of length in percent, doubled where it shifts the reading frame."""
+    """Change of length in percent, doubled where it shifts the reading frame; null for an empty reference."""
     shift = F.length(alt) - F.length(ref)
-    return shift / F.length(ref) * 100 * F.when(F.abs(shift) % 3 != 0, 2.0).otherwise(1.0)
+    return F.try_divide(shift, F.length(ref)) * 100 * F.when(F.abs(shift) % 3 != 0, 2.0).otherwise(1.0)
 
 
 def gene_density(chromosome: Column) -> Column:
@@ -27,7 +27,8 @@ def gene_density(chromosome: Column) -> Column:
 
 
 def gc_fraction(s: Column) -> Column:
-    return (F.length(s) - F.length(F.translate(s, "GC", ""))) / F.length(s)
+    """Share of G and C; null for an empty sequence."""
+    return F.try_divide(F.length(s) - F.length(F.translate(s, "GC", "")), F.length(s))
 
 
 def cpg_fraction(s: Column) -> Column:

@@ -19,7 +19,7 @@ def parse_pwm(lines: DataFrame, order: str = DNA_ORDER) -> DataFrame:
 
 def read_pwms(spark: SparkSession, folder: str, order: str = DNA_ORDER) -> DataFrame:
     """(motif, pos, symbol, p) of a folder of matrix files, each named by its file."""
-    raw = spark.read.option("wholetext", True).text(folder).withColumn("motif", F.regexp_extract(F.input_file_name(), r"([^/]+?)(?:\.\w+)?$", 1))
+    raw = spark.read.text(folder, wholetext=True).withColumn("motif", F.regexp_extract(F.input_file_name(), r"([^/]+?)(?:\.\w+)?$", 1))
     lines = F.filter(F.split("value", r"\r?\n"), lambda x: F.trim(x) != "")
     return parse_pwm(raw.select("motif", F.posexplode(lines).alias("pos", "line")), order)
 
