@@ -52,7 +52,7 @@ def per_batch(df: DataFrame, rows: Callable[[dict[str, list]], dict[str, list]],
     return df.mapInArrow(run, schema)
 
 
-def components(links: DataFrame, rounds: int = 60) -> DataFrame:
+def components(links: DataFrame) -> DataFrame:
     """Smallest id reachable from each linked id.
 
     links: columns a, b (long), a != b.  Returns (id, component_id) for every id in a link.
@@ -66,9 +66,7 @@ def components(links: DataFrame, rounds: int = 60) -> DataFrame:
         .distinct()
     )
     total = None
-    for _ in range(rounds):
-        if edges.isEmpty():
-            break
+    while not edges.isEmpty():
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("low"))
         # large star: neighbours above u go to the smallest of u and its neighbours
