@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 from collections.abc import Callable, Iterator
 
@@ -36,6 +37,15 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def free_shuffles(spark: SparkSession) -> None:
+    """Let Spark's cleaner drop the shuffle files of plans that nothing refers to any more.
+
+    It acts when the driver collects its garbage, which between large steps may otherwise not happen for long.
+    """
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def per_batch(df: DataFrame, rows: Callable[[dict[str, list]], dict[str, list]], schema: str) -> DataFrame:
     """Apply a function from columns to columns to every Arrow batch."""
     from pyspark.sql.types import StructType
