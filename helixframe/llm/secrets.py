@@ -2,7 +2,9 @@
 
 Novelty: a candidate string near a sensitive word is compressed together with the code around it, by a
 compressor primed with common identifiers, and without it; the marginal bytes over its length tell how far
-neither the surroundings nor the dictionary explain it.  Incompressible candidates are reported.
+neither the surroundings nor the dictionary explain it.  Incompressible candidates are reported.  A candidate that
+only dots, quotes or line breaks part from one in sensitive context is in that context too, so that all lines of
+a key and all parts of a dotted token count.
 
 Nulls count as empty texts, empty texts have no spans, and texts of any length are scanned whole.
 Spans are kind:start:end in code points, the end exclusive.
@@ -28,6 +30,10 @@ ASSIGN_WORDS = ("password", "passwd", "secret", "token", "apikey", "api_key")
 CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{16,}")
 SENSITIVE = ("passw", "pwd", "secret", "token", "api_key", "apikey", "api-key", "bearer", "credential", "private", "signature", "session", "auth")
 NEAR, AROUND = 48, 256
+#: What may stand between the pieces of one string (with a dot, quote or line break in it), and the short last line of a key block.
+_BETWEEN = r"""(?:\\[nr]|[\s."'`,\\>|#*])"""
+JOINT, JOINS = re.compile(_BETWEEN + "++"), re.compile(r"""[."'`\\\r\n]""")
+LAST_LINE = re.compile(f"{_BETWEEN}*+([A-Za-z0-9+/=]{{1,15}}?)(?={_BETWEEN}*+-----END)")
 #: Marginal compressed bytes for each character from which a candidate is reported; random base64 has about 0.75.
 NOVELTY = 0.6
 #: Fixed words that the compressor knows beforehand; a parameter of the operator.
@@ -69,29 +75,39 @@ class Novelty:
         return (len(self.compress(whole)) - len(self.compress(code))) / max(1, len(candidate))
 
 
+def joined(text: str, a: int, b: int) -> bool:
+    return JOINT.fullmatch(text, a, b) is not None and JOINS.search(text, a, b) is not None
+
+
 def novel_spans(text: str, known: list[tuple[int, int, int]], novelty: Novelty, least: float) -> list[tuple[int, int, int]]:
-    """Incompressible candidates in sensitive context that no base span overlaps."""
+    """Incompressible candidates in sensitive context, their own or carried on, that no base span overlaps."""
     low = text.lower()
     if not any(w in low for w in SENSITIVE):
         return []
     found: list[tuple[int, int, int]] = []
-    ends: list[tuple[int, int]] = []  # base spans, merged
-    for a, _, b in known:
+    ends: list[tuple[int, int, bool]] = []  # base spans, merged; whether one of a secret is among them
+    for a, kind, b in known:
         if ends and a < ends[-1][1]:
-            ends[-1] = (ends[-1][0], max(b, ends[-1][1]))
+            ends[-1] = (ends[-1][0], max(b, ends[-1][1]), ends[-1][2] or kind < 2)
         else:
-            ends.append((a, b))
-    k = 0
+            ends.append((a, b, kind < 2))
+    k, last = 0, None  # last: the end of the piece before, if in sensitive context
     for m in CANDIDATE.finditer(text):
         a, b = m.span()
         while k < len(ends) and ends[k][1] <= a:
             k += 1
         s = m[0]
-        if k < len(ends) and ends[k][0] < b or not (any(map(str.isdigit, s)) and any(map(str.isalpha, s))):
-            continue
         before = text[max(0, a - AROUND) : a]
-        if any(w in before[-NEAR:].lower() for w in SENSITIVE) and novelty(before, s, text[b : b + AROUND]) >= least:
+        sensitive = any(w in before[-NEAR:].lower() for w in SENSITIVE) or last is not None and joined(text, last, a)
+        if k < len(ends) and ends[k][0] < b:
+            last = max(b, ends[k][1]) if sensitive or ends[k][2] else None
+            continue
+        last = b if sensitive else None
+        if sensitive and any(map(str.isdigit, s)) and any(map(str.isalpha, s)) and novelty(before, s, text[b : b + AROUND]) >= least:
             found.append((a, 3, b))
+            short = LAST_LINE.match(text, b)
+            if short:
+                found.append((short.start(1), 3, short.end(1)))
     return found
 
 

@@ -1,5 +1,7 @@
 import hashlib
+import random
 import re
+import string
 
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -33,6 +35,21 @@ def test_novelty():
     assert secrets.novel_spans("bearer token 1111111111111111111a", [], measure, secrets.NOVELTY) == []
 
 
+def test_context_carries_on():
+    """All lines of a key block, the short last one too, and all parts of a dotted token."""
+    rng, measure = random.Random(1), secrets.Novelty()
+    some = lambda n: "".join(rng.choices(string.ascii_letters + string.digits + "+/", k=n))
+    novel = lambda text: [text[a:b] for a, _, b in secrets.novel_spans(text, secrets.base_spans(text), measure, secrets.NOVELTY)]
+    lines = [some(64) for _ in range(25)] + [some(10) + "=="]
+    for joint in ("\n", "\r\n", "\n    ", '\\n"\n"'):
+        text = joint.join(["-----BEGIN PRIVATE KEY-----", *lines, "-----END PRIVATE KEY-----"])
+        assert [x[-12:] for x in novel(text)] == [x[-12:] for x in lines]
+    parts = [some(n).replace("+", "-").replace("/", "_") for n in (36, 120, 43)]
+    assert novel("Bearer " + ".".join(parts) + " ends") == parts
+    assert novel("a token " + lines[0] + " and then, much later and with nothing said of it, here, " + lines[1]) == lines[:1]
+    assert novel("nothing of the kind\n" + "\n".join(lines[:3]) + "\nbut a token") == []
+
+
 def test_edges(spark):
     long = "x " * 60_000 + "password=abcdef123"
     rows = [(1, None, "z", 1), (2, "", "z", 0), (3, long, "z", len(long)), (3, long, "z", len(long)), (4, "AKIA" + "A1" * 8 + " tail", "z", 0)]
