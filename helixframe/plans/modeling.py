@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..config import Config
+from ..config import DEFAULT
 from ..functions import dna
 from ..operators import align, motifs, orf, repair, structure, viterbi
 from ..sources.variants import VARIANTS_SQL, from_orders, label
@@ -149,11 +149,22 @@ def _(v):
 
 @on_variants("backward_elimination")
 def _(v):
-    """Two steps of backward elimination."""
-    _, steps = learning.backward_elimination(labelled(v), MODEL_FEATURES[:5], rounds=3, most=2, k=2)
+    """Backward elimination from all model features until its own rule stops it."""
+    _, steps = learning.backward_elimination(labelled(v), MODEL_FEATURES)
     return v.sparkSession.createDataFrame(steps, "dropped string, features int, roc_auc double, pr_auc double, f1 double")
 
 
+@on_variants("variance_search")
+def _(v):
+    """The variance threshold whose features have the best mean metrics over folds, and how many they are."""
+    table = labelled(v).cache()
+    found = {r["feature"]: r["variance"] for r in learning.variances(table, MODEL_FEATURES).collect()}
+    at = lambda t: [c for c in MODEL_FEATURES if found[c] is not None and found[c] >= t]
+    threshold, score = learning.binary_variance_search(lambda kept: learning.cross_validation(table, kept).total, at)
+    table.unpersist()
+    return v.sparkSession.createDataFrame([(threshold, score, len(at(threshold)))], "threshold double, score double, features int")
+
+
 # ---- the allele optimizer ----
 
 EDITS_SQL = (
@@ -185,16 +196,17 @@ def _(v):
 
 @on_variants("repair_loop")
 def _(v):
-    """Two iterations of repair of every pathogenic variant by a model of the alleles' features."""
+    """Repair of every pathogenic variant by a model of the alleles' features: copies at the end, and the alleles that reached the goal."""
     model = learning.train(labelled(v), MODEL_FEATURES, rounds=5)
 
     def benign(df: DataFrame) -> DataFrame:
         scored = learning.score(model, quick_features(df), MODEL_FEATURES)
         return scored.withColumn("score", F.col("prob_benign")).drop(*MODEL_FEATURES, "prob_benign", "prob_pathogenic", "predicted")
 
-    config = Config(iterations=2, random_choices=5)
     start = v.where("clinical_significance = 'Pathogenic'").select("variant_id", "ref_allele", "alt_allele")
-    return repair.repair(start, benign, config, cut=cut).copies.select("variant_id", "alt_allele", "score", "retain", "iteration")
+    made = repair.repair(start, benign, DEFAULT, cut=cut)
+    copies = made.copies.select("variant_id", "alt_allele", "score", "retain", "iteration", F.lit(False).alias("reached"))
+    return copies.unionByName(made.reached.withColumn("reached", F.lit(True)), allowMissingColumns=True)
 
 
 def cut(df: DataFrame) -> DataFrame:
