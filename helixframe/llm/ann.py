@@ -11,8 +11,8 @@ inner product with a near neighbour among the sample's vectors in those lists, L
 so that the test's rare errors still leave it enough.  Lists and queries are
 dealt in blocks of bounded size, so a list that holds a third of all rows is many tasks.
 
-Vectors that take no part are neither queries nor candidates.  A row is not its own candidate, nor are rows that
-repeat its id.  Ties go to the smaller vec_id.  With fewer candidates than wanted all are returned.
+Vectors that take no part are neither queries nor candidates.  Rows that repeat an id are one vector, the smallest by
+component order; a vector is not its own candidate.  Ties go to the smaller vec_id.  With fewer candidates than wanted all are returned.
 """
 
 from __future__ import annotations
@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import cut, small_batches, table
-from .vectors import centroids, matrix, nearest, sample, unpack, usable
+from .vectors import as_numpy, by_length, centroids, matrix, nearest, one_each, sample, unpack, usable
 
 #: Rows of a list on average, most lists, rows of a block of candidates and of queries, components in a column block.
 LIST_ROWS, MOST_LISTS, BLOCK_ROWS, QUERY_ROWS, COLUMNS = 512, 1024, 1024, 1024, 16
@@ -51,6 +51,7 @@ class Index:
     known: np.ndarray
     known_of: np.ndarray
     k: int
+    dtype: type = np.float32
 
 
 def longer(x: np.ndarray, length2: float) -> np.ndarray:
@@ -74,21 +75,17 @@ def probes_needed(x: np.ndarray, lists: np.ndarray, of: np.ndarray, k: int, reca
     return int(needed[min(len(needed) - 1, int(recall * len(needed)))]) + 1
 
 
-def build(vectors: DataFrame, k: int, recall: float = RECALL) -> Index | None:
+def build(vectors: DataFrame, k: int, recall: float = RECALL) -> Index:
     """Fit the lists on a bounded sample, then count all rows of each list."""
     norm2 = F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x.cast("double") * x)
     seen = vectors.agg(F.count("*").alias("n"), F.max(norm2).alias("length2")).first()
-    if not seen["n"]:
-        return None
     x = sample(vectors, seen["n"])
-    if not len(x):
-        x = sample(vectors, seen["n"], seen["n"])
     x = longer(x, length2 := seen["length2"] * (1 + 1e-9))
     lists = centroids(x, int(np.clip(seen["n"] // LIST_ROWS, 1, MOST_LISTS)))
     rotation = np.linalg.qr(np.random.default_rng(6).normal(size=(x.shape[1],) * 2))[0]
     of = nearest(x, lists)
     none = np.zeros(len(lists), dtype=np.int64)
-    index = Index(lists, none, none, probes_needed(x, lists, of, k, recall), length2, rotation, x[:BOUND_ROWS, :-1], of[:BOUND_ROWS], k)
+    index = Index(lists, none, none, probes_needed(x, lists, of, k, recall), length2, rotation, x[:BOUND_ROWS, :-1], of[:BOUND_ROWS], k, as_numpy(vectors))
     for r in listed(vectors, index).groupBy("list").count().collect():  # at most MOST_LISTS
         index.sizes[r["list"]] = r["count"]
     index.blocks = -(-index.sizes // BLOCK_ROWS)
@@ -108,14 +105,14 @@ def listed(vectors: DataFrame, index: Index) -> DataFrame:
             of = nearest(longer(x.astype(np.float64), ix.length2), ix.lists)
             ids = b.column(0).to_numpy()
             block = ((ids.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(33)).astype(np.int64) % np.maximum(1, ix.blocks[of])
-            packed = [r.tobytes() for r in x.astype(np.float32)]
+            packed = [r.tobytes() for r in x]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(packed), pa.array(of.astype(np.int32)), pa.array(block.astype(np.int32))], names=["vec_id", "vec", "list", "block"])
 
     return vectors.select("vec_id", "embedding").mapInArrow(run, "vec_id long, vec binary, list int, block int")
 
 
-def probing(queries: DataFrame, index: Index) -> DataFrame:
-    """(vec_id, vec, bound, list, nth): each query once for every list it probes, the nearest list first."""
+def probing(queries: DataFrame, index: Index, every: bool = False) -> DataFrame:
+    """(vec_id, vec, bound, list, nth): each query once for every list it probes, the nearest list first; or for every list, without a bound."""
     made = queries.sparkSession.sparkContext.broadcast(index)
 
     def run(batches):
@@ -123,17 +120,20 @@ def probing(queries: DataFrame, index: Index) -> DataFrame:
         for b in batches:
             if not b.num_rows:
                 continue
-            x, ids = matrix(b.column(1)).astype(np.float64), b.column(0)
+            given, ids = matrix(b.column(1)), b.column(0)
+            x = given.astype(np.float64)
             far = np.einsum("ij,ij->i", ix.lists, ix.lists) - 2 * x @ ix.lists[:, :-1].T
             order = far.argsort(1, kind="stable")
             # at least the wanted probes, and as many as hold k others
             held = np.cumsum(ix.sizes[order], axis=1) < ix.k + 1
             take = np.maximum(ix.probes, held.sum(1) + 1).clip(max=order.shape[1])
-            bound = first_bounds(x, order, take, ix)
+            if every:
+                take[:] = order.shape[1]
+            bound = np.full(len(x), -np.inf) if every else first_bounds(x, order, take, ix)
             row = np.repeat(np.arange(len(x)), take)
             nth = np.arange(len(row)) - np.repeat(np.cumsum(take) - take, take)
             chosen = np.concatenate([o[:t] for o, t in zip(order, take)])
-            packed = np.array([r.tobytes() for r in x.astype(np.float32)], dtype=object)
+            packed = np.array([r.tobytes() for r in given], dtype=object)
             yield pa.RecordBatch.from_arrays([ids.take(pa.array(row)), pa.array(packed[row], type=pa.binary()), pa.array(bound[row]), pa.array(chosen.astype(np.int32)), pa.array(nth.astype(np.int32))], names=["vec_id", "vec", "bound", "list", "nth"])
 
     return queries.select("vec_id", "embedding").mapInArrow(run, "vec_id long, vec binary, bound double, list int, nth int")
@@ -190,7 +190,7 @@ def within(group: pd.DataFrame, index: Index) -> pd.DataFrame:
     asked, given = group[asks], group[~asks].sort_values("vec_id")
     out = {"query_id": [], "vec_id": [], "score": []}
     if len(asked) and len(given):
-        q, c = unpack(asked["vec"]).astype(np.float64), unpack(given["vec"]).astype(np.float64)
+        q, c = unpack(asked["vec"], index.dtype).astype(np.float64), unpack(given["vec"], index.dtype).astype(np.float64)
         qid, cid, bound = asked["vec_id"].to_numpy(), given["vec_id"].to_numpy(), asked["bound"].to_numpy().copy()
         # the first candidates of the block tighten the bounds for the others
         head = 4 * (index.k + 1)
@@ -216,9 +216,13 @@ def within(group: pd.DataFrame, index: Index) -> pd.DataFrame:
 def search(vectors: DataFrame, queries: DataFrame, k: int, recall: float = RECALL) -> DataFrame:
     """(query_id, rank, vec_id, score): the k nearest found of each query, nearest first.
 
-    vectors, queries: vec_id, embedding of equal lengths; other columns are not read.
+    vectors, queries: vec_id, embedding; other columns are not read.  Vectors meet those of their own length.
     """
-    return search_usable(usable(vectors), usable(queries), k, recall)
+    candidates, asked, found = one_each(usable(vectors)), one_each(usable(queries)), None
+    for some, d, _ in by_length(candidates):
+        made = search_usable(some, asked.where(F.size("embedding") == d), k, recall)
+        found = made if found is None else found.unionByName(made)
+    return vectors.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double") if found is None else found
 
 
 def ranked(found: DataFrame, k: int) -> DataFrame:
@@ -251,8 +255,6 @@ def search_usable(vectors: DataFrame, queries: DataFrame, k: int, recall: float
     spark = vectors.sparkSession
     small_batches(spark, 4096)
     index = build(vectors, k, recall)
-    if index is None:
-        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     asked = probing(queries, index)
     near = -(-index.probes // FIRST_LISTS)
     first = cut(ranked(in_lists(asked.where(F.col("nth") < near), vectors, index), k))
@@ -260,9 +262,16 @@ def search_usable(vectors: DataFrame, queries: DataFrame, k: int, recall: float
     rest = asked.where(F.col("nth") >= near).join(reached, "vec_id", "left")
     rest = rest.withColumn("bound", F.greatest("bound", F.coalesce("kth", "bound"))).drop("kth")
     found = first.select("query_id", "vec_id", "score").unionByName(in_lists(rest, vectors, index))
-    return ranked(found, k).select("query_id", "rank", "vec_id", "score")
+    found = cut(ranked(found, k).select("query_id", "rank", "vec_id", "score"))
+    # a query that the test left with too few is compared with all rows
+    enough = found.groupBy("query_id").count().where(F.col("count") >= min(k, int(index.sizes.sum()) - 1))
+    short = cut(queries.join(enough, queries["vec_id"] == enough["query_id"], "left_anti"))
+    if short.isEmpty():
+        return found
+    exact = ranked(in_lists(probing(short, index, every=True), vectors, index), k).select(*found.columns)
+    return found.join(short.select(F.col("vec_id").alias("query_id")), "query_id", "left_anti").select(*found.columns).unionByName(exact)
 
 
 def op3_adaptive_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    vectors = usable(table(spark, sf_dir, "embeddings"))
-    return search_usable(vectors, vectors.where("vec_id % 20 = 0"), 20)
+    vectors = table(spark, sf_dir, "embeddings")
+    return search(vectors, vectors.where("vec_id % 20 = 0"), 20)

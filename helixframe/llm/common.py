@@ -18,6 +18,19 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def share_of(key: Column, seed: int, share: Column | float) -> Column:
+    """Whether the key's hash falls into a share of all hashes; exact to 2^-52, so no share above zero becomes none."""
+    place = F.xxhash64(key, F.lit(seed)).bitwiseAND(F.lit((1 << 62) - 1))
+    return place.cast("double") < (share if isinstance(share, Column) else F.lit(share)) * float(1 << 62)
+
+
+def free_name(name: str, taken: list[str]) -> str:
+    """The name, with as many underscores behind it as make it none of those taken (in any case of letters)."""
+    while name.lower() in {x.lower() for x in taken}:
+        name += "_"
+    return name
+
+
 def remainder(key: Column, n: int) -> Column:
     """crc32 of the key as text, modulo n; null keys count as the empty text."""
     return F.crc32(F.coalesce(key.cast("string"), F.lit("")).cast("binary")) % n
@@ -33,7 +46,9 @@ def cut(df: DataFrame) -> DataFrame:
     sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
         folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="checkpoints-"))  # unset only in local tests
+        if not folder and not sc.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="checkpoints-"))  # one machine, as in tests
     return df.checkpoint()
 
 

@@ -1,7 +1,7 @@
 """Near-duplicate embeddings by int8 tile products with rigorous error bounds.
 
 All pairs of vectors are compared in tiles of two bounded blocks.  Unit vectors are quantised to int8 with a scale
-each; the product of two blocks' codes is exact, and each vector's measured quantisation error bounds how far
+each, codes that float32 carries so that the product of two blocks' codes is exact, and each vector's measured quantisation error bounds how far
 the true cosine can be from the scaled product.  Only pairs whose bound reaches the threshold are computed again in
 double precision from the original vectors, so no pair is lost and none below the threshold is linked.
 
@@ -9,7 +9,7 @@ Blocks follow the lists of a k-means fit on a bounded sample.  A pair of lists i
 their centroids less both lists' radii leaves no room for a near pair.  A list of any size is cut
 into bounded blocks, and a tile returns counts and a forest of its links, never its pairs.
 
-Vectors that take no part (see vectors.usable) have no links and are their own component.  Rows that repeat a
+Vectors of different lengths have no links with each other.  Vectors that take no part (see vectors.usable) have no links and are their own component.  Rows that repeat a
 vec_id count as one vector, the smallest by component order; a null vec_id has no row.
 """
 
@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from .common import components, cut, small_batches, table
 from .simhash import forest
-from .vectors import centroids, matrix, nearest, sample, unpack, usable
+from .vectors import as_numpy, by_length, centroids, matrix, nearest, one_each, sample, unpack, usable
 
 THRESHOLD = 0.9
 #: Rows of a block, rows of a product computed at once, rows of a list on average, most lists.
@@ -57,10 +57,12 @@ def near_pairs(u: np.ndarray, v: np.ndarray | None, threshold: float):
         for j in range(i if same else 0, len(v), STRIP):
             a, b = slice(i, i + STRIP), slice(j, j + STRIP)
             # |u.v - scaled product| <= |e_u| |v| + |u - e_u| |e_v|
-            room = eu[a].max() + (1 + eu[a].max()) * ev[b].max() + 1e-5
-            scaled = products(cu[a], cv[b])
+            # float32 carries the codes' sums exactly; its rounding from here on is within 1e-5
+            scaled = products(cu[a], cv[b]).astype(np.float32, copy=False)
             scaled *= su[a, None].astype(np.float32)
-            r, c = np.nonzero(scaled >= ((threshold - room) / sv[b]).astype(np.float32))
+            scaled *= sv[b].astype(np.float32)
+            scaled += eu[a, None].astype(np.float32)
+            r, c = np.nonzero(scaled >= (threshold - (1 + eu[a].max()) * ev[b] - 1e-5).astype(np.float32))
             if same and i == j:
                 r, c = r[r < c], c[r < c]
             for k in range(0, len(r), 1 << 16):
@@ -76,14 +78,14 @@ def unit(x: np.ndarray) -> np.ndarray:
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
-def tile(group: pd.DataFrame, threshold: float) -> pd.DataFrame:
+def tile(group: pd.DataFrame, threshold: float, dtype: type) -> pd.DataFrame:
     """(vec_id, n, root): links of each linked vector in a tile of two blocks, and a vector it reaches."""
     first = group.iloc[0]
     left = (group["list"] == first["la"]) & (group["block"] == first["ba"])
     a, b = group[left], group[~left]
     ids = np.r_[a["vec_id"].to_numpy(), b["vec_id"].to_numpy()]
-    u = unit(unpack(a["vec"])) if len(a) else None
-    v = unit(unpack(b["vec"])) if len(b) else None
+    u = unit(unpack(a["vec"], dtype)) if len(a) else None
+    v = unit(unpack(b["vec"], dtype)) if len(b) else None
     own = (first["la"], first["ba"]) == (first["lb"], first["bb"])
     n = np.zeros(len(ids), dtype=np.int64)
 
@@ -106,8 +108,7 @@ def tile(group: pd.DataFrame, threshold: float) -> pd.DataFrame:
 def blocks(vectors: DataFrame, n: int, threshold: float) -> DataFrame:
     """(list, block, vec_id, vec, la, ba, lb, bb): each vector once for every tile that its block is in."""
     spark = vectors.sparkSession
-    x = sample(vectors, n)
-    x = unit(x if len(x) else sample(vectors, n, n))
+    x = unit(sample(vectors, n))
     lists = centroids(x, int(np.clip(n // LIST_ROWS, 1, MOST_LISTS)))
     lists /= np.maximum(np.linalg.norm(lists, axis=1, keepdims=True), 1e-12)
     made = spark.sparkContext.broadcast(lists)
@@ -115,7 +116,7 @@ def blocks(vectors: DataFrame, n: int, threshold: float) -> DataFrame:
     def run(batches):
         for b in batches:
             if b.num_rows:
-                x = matrix(b.column(1)).astype(np.float32)
+                x = matrix(b.column(1))
                 u = unit(x)
                 of = nearest(u, made.value)
                 angle = np.arccos(np.clip((u * made.value[of]).sum(1), -1, 1))
@@ -137,19 +138,22 @@ def blocks(vectors: DataFrame, n: int, threshold: float) -> DataFrame:
     return dealt.select("list", "block", "vec_id", "vec", low["list"].alias("la"), low["block"].alias("ba"), high["list"].alias("lb"), high["block"].alias("bb"))
 
 
+def tiled(dealt: DataFrame, threshold: float, dtype: type) -> DataFrame:
+    return dealt.groupBy("la", "ba", "lb", "bb").applyInPandas(lambda g: tile(g, threshold, dtype), "vec_id long, n long, root long")
+
+
 def near_vectors(vectors: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """(vec_id, n_links, component_id, kept) of each vector.  vectors: vec_id, embedding; other columns are not read."""
     spark = vectors.sparkSession
     small_batches(spark, 4096)
-    known = vectors.where("vec_id is not null").select(F.col("vec_id").cast("long"), "embedding")
-    one = known.groupBy("vec_id").agg(F.min("embedding").alias("embedding"))
-    ok = usable(one)
-    n = ok.count()
-    ids = one.select("vec_id")
-    if not n:
+    one = one_each(vectors.where("vec_id is not null").select(F.col("vec_id").cast("long"), "embedding"))
+    ids, lengths = one.select("vec_id"), by_length(usable(one))
+    if not lengths:
         return ids.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
-    tiles = blocks(ok, n, threshold).groupBy("la", "ba", "lb", "bb")
-    found = cut(tiles.applyInPandas(lambda g: tile(g, threshold), "vec_id long, n long, root long"))
+    found = None
+    for ok, _, n in lengths:
+        made = cut(tiled(blocks(ok, n, threshold), threshold, as_numpy(ok)))
+        found = made if found is None else found.unionByName(made)
     counts = found.groupBy("vec_id").agg(F.sum("n").alias("n_links"))
     reached = components(found.select(F.col("vec_id").alias("a"), F.col("root").alias("b"))).withColumnRenamed("id", "vec_id")
     out = ids.join(counts.join(reached, "vec_id", "left"), "vec_id", "left")

@@ -13,12 +13,12 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import per_batch, remainder, small_batches, table
+from .common import per_batch, remainder, share_of, small_batches, table
 
 UNDETERMINED = "und"
 BUCKETS = 1 << 16
-#: The likelihoods are fitted on about so many documents of each language, picked by a hash of the id.
-DOCS_PER_LANGUAGE = 3000
+#: The likelihoods are fitted on about so many documents of each language, picked by a hash of the id; of so many languages at most.
+DOCS_PER_LANGUAGE, MOST_LANGUAGES = 3000, 256
 SMOOTHING, ROUNDS, MORE_ROUNDS, PENALTY, NEGLIGIBLE = 0.2, 6, 3, 1.0, 1e-3
 #: Characters worked on at once.
 CHUNK = 1 << 20
@@ -62,19 +62,20 @@ def chunks(texts: list[str | None], most: int = CHUNK):
         yield start, len(texts)
 
 
-def fit(docs: DataFrame, docs_per_language: int = DOCS_PER_LANGUAGE) -> tuple[list[str], np.ndarray]:
+def fit(docs: DataFrame, docs_per_language: int = DOCS_PER_LANGUAGE, most_languages: int = MOST_LANGUAGES) -> tuple[list[str], np.ndarray]:
     """Languages, sorted, and the log likelihood of each bucket in them.  docs: doc_id, text, lang.
 
-    Fitted on a bounded sample: about docs_per_language documents of each language.
+    Fitted on a bounded sample: about docs_per_language documents of each of the most_languages commonest languages.
     """
     small_batches(docs.sparkSession)
     known = docs.where("text is not null and lang is not null")
-    sizes = {r["lang"]: r["n"] for r in known.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    common = known.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(most_languages)
+    sizes = {r["lang"]: r["n"] for r in common.collect()}
     langs = sorted(sizes)
     if not langs:
         return [], np.zeros((0, BUCKETS), dtype=np.float32)
-    share = F.create_map(*[F.lit(x) for k in langs for x in (k, int(1e6 * docs_per_language / sizes[k]))])
-    picked = known.where(F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(1_000_000)) < share[F.col("lang")])
+    share = F.create_map(*[F.lit(x) for k in langs for x in (k, float(min(1.0, docs_per_language / sizes[k])))])
+    picked = known.where(share_of(F.col("doc_id"), 5, share[F.col("lang")]))
 
     def count(batch: dict) -> dict:
         out: dict[str, list] = {"lang": [], "bucket": [], "n": []}

@@ -1,5 +1,7 @@
 """Mixing sources to target weights over a tree of domains, languages and sources.
 
+Tokens here are runs of characters that are not white space.
+
 A token budget goes down the tree by the children's weights.  A node can't take more than its subtree's tokens
 times the most epochs; what it can't take goes to its siblings by their weights, and only what no sibling
 can take is left to the level above.  A leaf's budget is filled with whole epochs, each of all its documents,
@@ -21,7 +23,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from .common import cut, table
+from .common import cut, free_name, table
 
 LEAF = ("domain", "lang", "source")
 #: Most leaves of a tree; leaves, not documents, are what the driver holds.
@@ -107,7 +109,7 @@ def plan(docs: DataFrame, domain: Column, recipe: Recipe) -> DataFrame:
     """
     spark = docs.sparkSession
     words = F.coalesce(F.regexp_count("text", F.lit(r"\S+")), F.lit(0)).cast("long")
-    sized = cut(keyed(docs, domain).select(*LEAF_COLUMNS, "_id", words.alias("n")).where("n > 0"))
+    sized = cut(keyed(docs, domain, words.alias("n")).where("n > 0"))
     sums = sized.groupBy(*LEAF_COLUMNS).agg(F.sum("n").alias("tokens"), F.count("*").alias("docs"))
     leaves = sums.limit(MOST_LEAVES + 1).collect()
     if len(leaves) > MOST_LEAVES:
@@ -144,25 +146,28 @@ def plan(docs: DataFrame, domain: Column, recipe: Recipe) -> DataFrame:
 LEAF_COLUMNS = ["_domain", "_lang", "_source"]
 
 
-def keyed(docs: DataFrame, domain: Column) -> DataFrame:
+def keyed(docs: DataFrame, domain: Column, *more: Column) -> DataFrame:
+    """The leaf and id of each row and what else is asked for; docs' own columns only if asked for, so no name clashes."""
     named = [F.coalesce(c.cast("string"), F.lit("")).alias(n) for c, n in zip((domain, F.col("lang"), F.col("source")), LEAF_COLUMNS)]
-    return docs.select("*", *named, F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 62))).alias("_id"))
+    return docs.select(*named, F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 62))).alias("_id"), *more)
 
 
-def mix(docs: DataFrame, domain: Column, recipe: Recipe, epoch: str = "_epoch") -> DataFrame:
-    """docs as often as the recipe takes them, with the epoch (from 0) as one more column.
+def mix(docs: DataFrame, domain: Column, recipe: Recipe, epoch: str | None = "_epoch") -> DataFrame:
+    """docs as often as the recipe takes them, with the epoch (from 0) as one more last column, unless epoch is None.
 
-    docs: doc_id, text, lang, source; all columns stay as they are.  domain: a column of docs' columns.
+    docs: doc_id, text, lang, source; all columns stay as they are, whatever their names: an epoch whose name docs
+    has gets underscores behind it.  domain: a column of docs' columns.
     """
     taken = plan(docs, domain, recipe)
     # plan() refuses more than MOST_LEAVES rows of three names and numbers, so they can go to every task
-    out = keyed(docs, domain).join(F.broadcast(taken), LEAF_COLUMNS)
+    has_words = F.coalesce(F.col("text").rlike(r"\S"), F.lit(False)).alias("_has_words")
+    out = keyed(docs, domain, has_words, F.struct(*[docs[c] for c in docs.columns]).alias("_doc")).join(F.broadcast(taken), LEAF_COLUMNS)
     at = place(F.col("_whole"), recipe.seed)
     within = F.coalesce((at < F.col("_cut_place")) | (at == F.col("_cut_place")) & (F.col("_id") < F.col("_cut_id")), F.lit(False))
-    has_words = F.coalesce(F.col("text").rlike(r"\S"), F.lit(False))
-    copies = F.when(has_words, F.col("_whole") + within.cast("int")).otherwise(0)
-    made = out.withColumn(epoch, F.explode(F.when(copies > 0, F.sequence(F.lit(0), copies - 1)).otherwise(F.array().cast("array<int>"))))
-    return made.select(*[docs[c] for c in docs.columns], epoch)
+    copies = F.when(F.col("_has_words"), F.col("_whole") + within.cast("int")).otherwise(0)
+    made = out.select("_doc", F.explode(F.when(copies > 0, F.sequence(F.lit(0), copies - 1)).otherwise(F.array().cast("array<int>"))).alias("_nth"))
+    named = [] if epoch is None else [F.col("_nth").alias(free_name(epoch, docs.columns))]
+    return made.select("_doc.*", *named)
 
 
 def domain_of(source: Column) -> Column:

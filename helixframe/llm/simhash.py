@@ -9,7 +9,8 @@ whole, and only what is left is compared fingerprint by fingerprint.  A task ret
 
 Null and empty texts, and texts of white space, have fingerprint zero, which links like any other.  Equal
 fingerprints are one node.  Rows that repeat a doc_id are the same document.  A null doc_id keeps its
-fingerprint, and has a component if another document shares it or links to it, else null.
+fingerprint, links as any other document, and has a component if a document with an id is in it, else null.
+Doc ids are below 2^62.
 """
 
 from __future__ import annotations
@@ -22,12 +23,14 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import components, cut, per_batch, small_batches, table
+from .common import components, cut, free_name, per_batch, small_batches, table
 
 BITS, SHINGLE, SEED, DISTANCE = 64, 3, 42, 3
 #: Members of a node of the index, rows of a group that is not split, pairs followed at once, rows of a task.
 ARITY, LARGE_GROUP, PAIRS, TASK_ROWS = 8, 1024, 1 << 20, 400_000
 FULL = np.uint64(0xFFFFFFFFFFFFFFFF)
+#: Nodes from here on stand for fingerprints without an id.
+NAMELESS = 1 << 62
 
 
 def fingerprint(text: bytes) -> int:
@@ -215,20 +218,38 @@ def near_links(nodes: DataFrame) -> DataFrame:
 def near_components(docs: DataFrame) -> DataFrame:
     """(doc_id, fp, component_id) of each row of docs: the smallest doc_id reachable over near fingerprints."""
     prints = cut(fingerprints(docs))
-    sizes = prints.groupBy("fp").agg(F.min("doc_id").alias("node"), F.count("*").alias("n"))
-    nodes = cut(sizes.where("node is not null"))
-    found = components(near_links(nodes.select("fp", "node")))
+    # a fingerprint that only null ids have is a node too, above all ids
+    nameless = F.lit(NAMELESS) + F.shiftrightunsigned("fp", 2)
+    nodes = cut(prints.groupBy("fp").agg(F.coalesce(F.min("doc_id"), nameless).alias("node"), F.count("*").alias("n")))
+    # a doc_id with several fingerprints is one document: its nodes are linked
+    several = prints.groupBy("doc_id").agg(F.min("fp").alias("low"), F.max("fp").alias("high")).where("doc_id is not null and low < high").select("doc_id")
+    same = prints.join(several, "doc_id").join(nodes.select("fp", "node"), "fp").select(F.col("node").alias("a"), F.col("doc_id").alias("b"))
+    found = components(near_links(nodes.select("fp", "node")).unionByName(same))
     named = nodes.join(found.withColumnRenamed("id", "node"), "node", "left")
     # only fingerprints that several rows share or that are linked need a look-up
     shared = named.where("n > 1 or component_id is not null").select("fp", F.coalesce("component_id", "node").alias("component_id"))
     out = prints.join(shared, "fp", "left")
-    return out.select("doc_id", "fp", F.coalesce("component_id", "doc_id").alias("component_id"))
+    component = F.coalesce("component_id", "doc_id")
+    return out.select("doc_id", "fp", F.when(component < NAMELESS, component).otherwise(F.col("doc_id")).alias("component_id"))
 
 
 def drop_near_duplicates(docs: DataFrame) -> DataFrame:
-    """docs without those whose component has a smaller doc_id; all columns stay as they are."""
-    gone = near_components(docs).where("component_id < doc_id").select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, docs["doc_id"] == gone["_gone"], "left_anti")
+    """One row of docs for each component, of the smallest doc_id; all columns stay as they are, whatever their names.
+
+    A null doc_id stands behind all others, equal texts with null ids being one document.  Of rows that repeat a
+    kept doc_id the one with the smallest text stays (null texts count as empty).
+    """
+    id_of = F.coalesce(docs["doc_id"].cast("long"), F.lit(NAMELESS - 1) - F.xxhash64(F.coalesce(docs["text"], F.lit(""))).bitwiseAND(F.lit((1 << 61) - 1)))
+    key = free_name("_key", docs.columns)
+    found = cut(near_components(docs.select(id_of.alias("doc_id"), docs["text"])))
+    gone = found.where("component_id < doc_id").select(F.col("doc_id").alias(key)).distinct()
+    kept = docs.join(gone, id_of == gone[key], "left_anti")
+    again = cut(found.where("component_id = doc_id").groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias(key)))
+    if again.isEmpty():
+        return kept
+    rows = F.min_by(F.struct(*[F.col(c) for c in docs.columns]), F.coalesce(F.col("text"), F.lit(""))).alias("row")
+    one = kept.join(again, id_of == again[key]).groupBy(key).agg(rows).select("row.*")
+    return kept.join(again, id_of == again[key], "left_anti").unionByName(one)
 
 
 def op4_simhash_gray(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -19,7 +19,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import per_batch, remainder, small_batches, table
+from .common import per_batch, remainder, share_of, small_batches, table
 
 #: The model is fitted on about so many labelled documents of each label, picked by a hash of the id.
 TOXIC_DOCS, CLEAN_DOCS = 4000, 6000
@@ -105,7 +105,7 @@ def fit(docs: DataFrame, labels: DataFrame, toxic_docs: int = TOXIC_DOCS, clean_
         return Model(-math.inf, {})
     share = {1: min(1.0, toxic_docs / sizes[1]), 0: min(1.0, clean_docs / sizes[0])}
     shares = F.when(F.col("toxic") == 1, share[1]).otherwise(share[0])
-    picked = known.where(F.pmod(F.xxhash64("doc_id", F.lit(3)), F.lit(1_000_000)) < shares * 1_000_000)
+    picked = known.where(share_of(F.col("doc_id"), 3, shares))
     # about toxic_docs + clean_docs pairs of numbers, whatever the corpus
     bags = docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id")
 

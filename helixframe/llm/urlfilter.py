@@ -8,7 +8,7 @@ interval by the fetch day, so the work follows the captures and not captures tim
 On a day with several actions for one entry, an addition wins.  An entry is active from the day of its addition
 to the day before its removal; a removal without an addition does nothing.  A capture whose URL is null or has no host, or
 whose fetch day is null, matches nothing.  Hosts compare in lower case, without user and port; paths as they are.
-Rows that repeat a capture id are one capture each, and repeated entries count once.
+Rows that repeat a capture id are one capture each, whatever their URL or day, and repeated entries count once.
 """
 
 from __future__ import annotations
@@ -22,6 +22,8 @@ KINDS = ("prefix", "host", "domain")  # the most specific first
 AUTHORITY = r"^[A-Za-z][A-Za-z0-9+.\-]*://(?:[^/?#@]*@)?([^/?#:@]*)"
 PATH = r"^[A-Za-z][A-Za-z0-9+.\-]*://[^/?#]*(/[^?#]*)"
 FOREVER = "9999-12-31"
+#: Intervals that are broadcast: some 100 bytes each.
+BROADCAST_ENTRIES = 200_000
 
 
 def host_of(url: Column) -> Column:
@@ -62,24 +64,27 @@ def keys_of(host: Column, path: Column) -> Column:
 
 
 def matched(captures: DataFrame, entries: DataFrame) -> DataFrame:
-    """(capture, n_active, reason, since) of each capture that an active entry lists; reason: the most specific.
+    """(capture, url, day, n_active, reason, since) of each capture that an active entry lists; reason: the most specific.
 
-    captures: capture, url, day.
+    captures: capture, url, day; each distinct row is one capture.  A list of BROADCAST_ENTRIES intervals at most goes
+    to every task; with a longer one captures and entries meet by a shuffle, whose skewed keys Spark splits.
     """
     active = cut(intervals(entries))
-    keyed = captures.select("capture", "day", F.explode(keys_of(host_of(F.col("url")), path_of(F.col("url")))).alias("k"))
-    hits = keyed.select("capture", "day", "k.kind", "k.pattern").join(active, ["kind", "pattern"]).where("since <= day and day < until")
+    if active.count() <= BROADCAST_ENTRIES:
+        active = F.broadcast(active)
+    keyed = captures.select("capture", "url", "day", F.explode(keys_of(host_of(F.col("url")), path_of(F.col("url")))).alias("k"))
+    hits = keyed.select("capture", "url", "day", "k.kind", "k.pattern").join(active, ["kind", "pattern"]).where("since <= day and day < until")
     rank = F.array_position(F.array(*map(F.lit, KINDS)), F.col("kind"))
     first = F.min(F.struct(rank, -F.length("pattern"), "pattern", "kind", "since")).alias("first")
-    found = hits.groupBy("capture").agg(F.count("*").alias("n_active"), first)
-    return found.select("capture", "n_active", F.concat("first.kind", F.lit(":"), "first.pattern").alias("reason"), "first.since")
+    found = hits.groupBy("capture", "url", "day").agg(F.count("*").alias("n_active"), first)
+    return found.select("capture", "url", "day", "n_active", F.concat("first.kind", F.lit(":"), "first.pattern").alias("reason"), "first.since")
 
 
 def filter_captures(captures: DataFrame, entries: DataFrame, key: str, url: str = "url", day: str = "fetch_day") -> DataFrame:
     """(key, host, day, blocked, n_active, reason, since) of each capture."""
     plain = captures.select(F.col(key).alias("capture"), F.col(url).alias("url"), F.col(day).alias("day"))
     found = matched(plain.distinct(), entries)
-    out = plain.join(found, "capture", "left")
+    out = plain.join(found, ["capture", "url", "day"], "left")
     return out.select(
         F.col("capture").alias(key), F.coalesce(host_of(F.col("url")), F.lit("")).alias("host"), F.col("day").alias(day),
         F.col("n_active").isNotNull().alias("blocked"), F.coalesce("n_active", F.lit(0)).alias("n_active"), "reason", "since",
@@ -142,12 +147,12 @@ active AS (
   SELECT kind, pattern, DATE '2023-01-01' + added::INT AS since, CASE WHEN d[3] < 10 THEN DATE '2023-01-01' + removed::INT ELSE DATE '9999-12-31' END AS until FROM listed
   UNION ALL SELECT kind, pattern, DATE '2023-01-01' + again::INT, DATE '9999-12-31' FROM listed WHERE d[3] < 10 AND d[5] < 8),
 keyed AS (
-  SELECT page_id, fetch_day, 1 AS rank, 'prefix' AS kind, unnest(list_transform(range(1, len(string_split(path, '/')) + 1), lambda i: host || array_to_string(list_slice(string_split(path, '/'), 1, i), '/'))) AS pattern FROM p WHERE host <> '' AND length(path) > 1
-  UNION ALL SELECT page_id, fetch_day, 2, 'host', host FROM p WHERE host <> ''
-  UNION ALL SELECT page_id, fetch_day, 3, 'domain', unnest(list_transform(range(1, len(string_split(host, '.')) + 1), lambda i: array_to_string(list_slice(string_split(host, '.'), i, len(string_split(host, '.'))), '.'))) FROM p WHERE host <> ''),
-hits AS (SELECT DISTINCT k.page_id, k.rank, k.kind, k.pattern, a.since FROM keyed k JOIN active a ON k.kind = a.kind AND k.pattern = a.pattern AND a.since <= k.fetch_day AND k.fetch_day < a.until),
-best AS (SELECT *, row_number() OVER (PARTITION BY page_id ORDER BY rank, length(pattern) DESC, pattern) AS rn, count(*) OVER (PARTITION BY page_id) AS n FROM hits)
+  SELECT page_id, url, fetch_day, 1 AS rank, 'prefix' AS kind, unnest(list_transform(range(1, len(string_split(path, '/')) + 1), lambda i: host || array_to_string(list_slice(string_split(path, '/'), 1, i), '/'))) AS pattern FROM p WHERE host <> '' AND length(path) > 1
+  UNION ALL SELECT page_id, url, fetch_day, 2, 'host', host FROM p WHERE host <> ''
+  UNION ALL SELECT page_id, url, fetch_day, 3, 'domain', unnest(list_transform(range(1, len(string_split(host, '.')) + 1), lambda i: array_to_string(list_slice(string_split(host, '.'), i, len(string_split(host, '.'))), '.'))) FROM p WHERE host <> ''),
+hits AS (SELECT DISTINCT k.page_id, k.url, k.rank, k.kind, k.pattern, a.since FROM keyed k JOIN active a ON k.kind = a.kind AND k.pattern = a.pattern AND a.since <= k.fetch_day AND k.fetch_day < a.until),
+best AS (SELECT *, row_number() OVER (PARTITION BY page_id, url ORDER BY rank, length(pattern) DESC, pattern) AS rn, count(*) OVER (PARTITION BY page_id, url) AS n FROM hits)
 SELECT p.page_id, p.host, p.fetch_day, b.page_id IS NOT NULL AS blocked, coalesce(b.n, 0)::BIGINT AS n_active,
   b.kind || ':' || b.pattern AS reason, b.since
-FROM p LEFT JOIN best b ON p.page_id = b.page_id AND b.rn = 1
+FROM p LEFT JOIN best b ON p.page_id = b.page_id AND p.url = b.url AND b.rn = 1
 """

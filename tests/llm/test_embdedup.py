@@ -49,7 +49,7 @@ def test_blocks_and_lists(spark, monkeypatch):
 
 
 def test_query_as_brute_force(spark):
-    sf = "/root/testdata/check_s"
+    sf = "/root/testdata/sf0.1"
     e = spark.read.parquet(f"{sf}/embeddings.parquet").toPandas()
     got = {r.vec_id: (r.n_links, r.component_id) for r in embdedup.op6_int8_tiles(spark, sf).collect()}
     assert got == brute(np.stack(e.embedding).astype(float), e.vec_id.to_numpy(), 0.9)
@@ -63,3 +63,12 @@ def test_edges(spark):
     assert got == {1: (2, 1, True), 2: (2, 1, False), 9: (2, 1, False)} | {i: (0, i, True) for i in (3, 4, 5, 6, 7, 8)}
     assert embdedup.near_vectors(vectors.where("false")).collect() == []
     assert [r.kept for r in embdedup.near_vectors(vectors.where("vec_id = 4")).collect()] == [True]
+
+
+def test_lengths_and_doubles(spark):
+    """Vectors of every length are linked with those of their own; repeated ids count once."""
+    near = 0.9 + 1e-9  # told apart from 0.9 only in double precision
+    rows = [(1, [1.0, 0.0]), (2, [near, (1 - near**2) ** 0.5]), (3, [0.9 - 1e-9, (1 - (0.9 - 1e-9) ** 2) ** 0.5]), (4, [2.0]), (5, [3.0]), (5, [3.0]), (6, [-1.0])]
+    vectors = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = {r.vec_id: (r.n_links, r.component_id) for r in embdedup.near_vectors(vectors).collect()}
+    assert got == {1: (1, 1), 2: (2, 1), 3: (1, 1), 4: (1, 4), 5: (1, 4), 6: (0, 6)}

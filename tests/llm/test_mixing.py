@@ -67,5 +67,10 @@ def test_edges(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
     got = mixing.mix(docs, mixing.domain_of(F.col("source")), Recipe(share=2.0, most_epochs=2)).collect()
     assert Counter(r.doc_id for r in got) == {3: 2, None: 2, 4: 4}
+    names = ["_epoch", "_EPOCH_", "_domain", "_lang", "_source", "_id", "_whole", "_cut_place", "_cut_id", "_doc", "_nth", "_has_words", "n"]
+    clashing = docs.select("*", *[F.lit("x").alias(n) for n in names])
+    got = mixing.mix(clashing, mixing.domain_of(F.col("source")), Recipe(share=2.0, most_epochs=2))
+    assert got.columns == [*clashing.columns, "_epoch__"] and Counter(r.doc_id for r in got.collect()) == {3: 2, None: 2, 4: 4}
+    assert mixing.mix(clashing, F.lit("d"), Recipe(), epoch=None).columns == clashing.columns
     assert mixing.mix(docs.where("false"), F.lit("d"), Recipe()).collect() == []
     assert mixing.mix(docs, F.lit("d"), Recipe(other=0.0)).collect() == []

@@ -69,10 +69,12 @@ def test_hard_rows(spark):
     rows = [(i, text + f" number{i} " * (i % 7 + 1), "en", None if i % 5 else "s", 1, "x") for i in range(40)]
     rows += [(50, None, "en", "s", None, None), (51, "", None, None, 0, "x"), (None, text + "a null id here", "en", "s", 3, "x"), (52, text * 3000, None, "s", 5, "x"), (3, rows[3][1], "en", "s", 1, "x")]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, score string")
-    for given in (docs, docs.where("false"), docs.where("doc_id in (50, 51)")):
+    names = ["_epoch", "_domain", "_id", "_doc", "_gone", "_key", "_nth", "fp", "component_id", "node", "lang_pred", "spans", "n_tokens", "row"]
+    clashing = docs.select("*", *[F.lit("x").alias(n) for n in names])
+    for given in (docs, clashing, docs.where("false"), docs.where("doc_id in (50, 51)")):
         out = given
         for name, stage in corpus_pipeline.STAGES[:-1]:
             out = stage(spark, out, "")
-            assert out.columns == docs.columns, name
+            assert out.columns == given.columns, name
         last = corpus_pipeline.STAGES[-1][1](spark, out, "")
         assert last.count() <= 2 * given.count()

@@ -78,10 +78,20 @@ def test_edges(spark):
     assert of == {5: 3, 3: 3, 9: 8, 8: 8, 2: 2, 7: 7}
     assert sorted(r.component_id or -1 for r in got if r.doc_id is None) == [-1, 3]
     kept = simhash.drop_near_duplicates(docs)
-    assert kept.columns == docs.columns and sorted(r.doc_id or -1 for r in kept.collect()) == [-1, -1, 2, 3, 7, 7, 8]
+    assert kept.columns == docs.columns and sorted(r.doc_id or -1 for r in kept.collect()) == [-1, 2, 3, 7, 8]
     assert simhash.near_components(docs.where("false")).collect() == []
 
 
+def test_several_texts_of_an_id(spark):
+    """A doc_id's texts are one document, so what links to either is linked; a null id can be what links two others."""
+    a, b, c = ("one two three four five six seven " * 9, "red green blue white black grey pink " * 9, "mon tue wed thu fri sat sun jan feb " * 9)
+    docs = spark.createDataFrame([(4, a), (4, b), (9, b), (6, a), (7, c), (None, c), (None, c)], "doc_id long, text string")
+    assert {r.doc_id: r.component_id for r in simhash.near_components(docs).collect()} == {4: 4, 9: 4, 6: 4, 7: 7, None: 7}
+    kept = simhash.drop_near_duplicates(docs).collect()
+    assert sorted((r.doc_id, r.text) for r in kept) == [(4, a), (7, c)]
+    assert len(simhash.drop_near_duplicates(docs.where("doc_id is null")).collect()) == 1
+
+
 def test_query_as_brute_force(spark):
     sf = "/root/testdata/sf0.001"
     docs = {r.doc_id: r.text for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}

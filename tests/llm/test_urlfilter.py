@@ -23,7 +23,7 @@ def test_intervals(spark):
     ]
 
 
-def test_as_of(spark):
+def test_as_of(spark, monkeypatch):
     entries = spark.createDataFrame(ENTRIES, "kind string, pattern string, day date, action string")
     rows = [
         (1, "http://www.BAD.com/p", date(2023, 1, 9)), (2, "http://www.BAD.com:80/p", date(2023, 1, 10)), (3, "https://u@bad.com", date(2023, 1, 31)), (4, "https://bad.com", date(2023, 2, 1)),
@@ -35,6 +35,11 @@ def test_as_of(spark):
     assert sorted(r.page_id for r in got) == sorted(r[0] for r in rows)
     assert {r.page_id: r.reason for r in got if r.blocked} == {2: "domain:bad.com", 3: "domain:bad.com", 6: "host:a.b.org", 7: "prefix:c.net/x", 12: "prefix:c.net/x"}
     assert urlfilter.filter_captures(captures.where("false"), entries, "page_id").collect() == []
+    same = spark.createDataFrame([(1, "http://bad.com", date(2023, 1, 12)), (1, "http://good.com", date(2023, 1, 12)), (1, "http://bad.com", date(2023, 2, 12)), (1, "http://bad.com", date(2023, 1, 12))], "page_id long, url string, fetch_day date")
+    for most in (urlfilter.BROADCAST_ENTRIES, 0):
+        monkeypatch.setattr(urlfilter, "BROADCAST_ENTRIES", most)
+        got = urlfilter.filter_captures(same, entries, "page_id").collect()
+        assert sorted((r.host, str(r.fetch_day), r.blocked, r.n_active) for r in got) == [("bad.com", "2023-01-12", True, 1)] * 2 + [("bad.com", "2023-02-12", False, 0), ("good.com", "2023-01-12", False, 0)]
     assert not any(r.blocked for r in urlfilter.filter_captures(captures, entries.where("false"), "page_id").collect())
 
 
