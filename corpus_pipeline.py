@@ -29,7 +29,7 @@ def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as the target weights take them."""
-    return mixing.mix(docs, mixing.domain_of(F.col("source")), mixing.RECIPE).drop("_epoch")
+    return mixing.mix(docs, mixing.domain_of(F.col("source")), mixing.RECIPE, epoch=None)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
