@@ -125,10 +125,13 @@ def quick_features(v: DataFrame) -> DataFrame:
 
 
 def labelled(v: DataFrame) -> DataFrame:
-    """Features of benign and pathogenic variants; the class hangs on the allele, so that there is something to learn."""
+    """Features of benign and pathogenic variants; the class hangs on the allele, so that there is something to learn.
+
+    Checkpointed, as every round of a fit reads them anew.
+    """
     known = v.where(F.col("clinical_significance").isin("Benign", "Pathogenic"))
     shifted = known.withColumn("label", F.when((F.length(alt) - F.length(ref)) % 3 != 0, 1).otherwise(label(F.col("clinical_significance"))))
-    return quick_features(shifted).select("variant_id", "label", *MODEL_FEATURES)
+    return cut(quick_features(shifted).select("variant_id", "label", *MODEL_FEATURES))
 
 
 @on_variants("train_score")
@@ -157,11 +160,10 @@ def _(v):
 @on_variants("variance_search")
 def _(v):
     """The variance threshold whose features have the best mean metrics over folds, and how many they are."""
-    table = labelled(v).cache()
+    table = labelled(v)
     found = {r["feature"]: r["variance"] for r in learning.variances(table, MODEL_FEATURES).collect()}
     at = lambda t: [c for c in MODEL_FEATURES if found[c] is not None and found[c] >= t]
     threshold, score = learning.binary_variance_search(lambda kept: learning.cross_validation(table, kept).total, at)
-    table.unpersist()
     return v.sparkSession.createDataFrame([(threshold, score, len(at(threshold)))], "threshold double, score double, features int")
 
 
@@ -190,8 +192,10 @@ BEST_SQL = EDITS_SQL + f", s AS (SELECT variant_id, candidate, round({energy('ca
 @on_variants("best_candidate", BEST_SQL)
 def _(v):
     """The candidate of the weakest stacking, as a score that SQL has too."""
-    scored = candidates(v).withColumn("score", F.round(dna.stacking_energy(F.col("candidate")) - dna.stacking_energy(ref), 6))
-    return repair.best_candidates(scored, "variant_id", "score", "candidate").select("variant_id", "candidate", "score")
+    own = v.withColumn("_own", dna.stacking_energy(ref))
+    loss = lambda c: F.lit(0.0) - F.round(dna.stacking_energy(c) - F.col("_own"), 6)
+    best = F.array_min(F.transform(repair.guided_edits(alt), lambda c: F.struct(loss(c).alias("loss"), c.alias("candidate"))))
+    return own.select("variant_id", best.alias("b")).select("variant_id", "b.candidate", (F.lit(0.0) - F.col("b.loss")).alias("score"))
 
 
 @on_variants("repair_loop")
@@ -210,10 +214,13 @@ def _(v):
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """A reliable checkpoint in the folder that the session names; a folder of its own only where it names none."""
+    """A reliable checkpoint in the folder that the session names; a folder of its own only where it names none, on one machine."""
     import tempfile
 
     sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoints-"))
+        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not folder and not sc.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="checkpoints-"))
     return df.checkpoint()
