@@ -10,6 +10,7 @@ from ..functions import dna
 from ..operators import align, motifs, orf, repair, structure, viterbi
 from ..sources.variants import VARIANTS_SQL, from_orders, label
 from . import features, learning
+from . import sequence_sql as sql
 from .base import energy
 
 QUERIES: dict = {}
@@ -21,35 +22,35 @@ def on_variants(name: str, oracle: str | None = None):
     def register(f):
         QUERIES[name] = lambda spark, sf_dir: f(from_orders(spark, sf_dir))
         if oracle:
-            ORACLES[name] = VARIANTS_SQL + oracle
+            ORACLES[name] = VARIANTS_SQL.replace("WITH ", "WITH RECURSIVE ", 1) + oracle
         return f
 
     return register
 
 
-# ---- alignment: scores by recursive SQL over the cells of short alleles ----
+# ---- sequence algorithms, each beside SQL of its own ----
 
 
 def aligned(v: DataFrame) -> DataFrame:
     return v.select("variant_id", align.dna_alignments(ref, alt).alias("a")).select("variant_id", "a.*")
 
 
-@on_variants("nw_dna")
+@on_variants("nw_dna", sql.NW_DNA)
 def _(v):
     return aligned(v).select("variant_id", "Global_score", F.round("Global_pct", 6).alias("Global_pct"), "global_ref", "global_alt")
 
 
-@on_variants("sw_dna")
+@on_variants("sw_dna", sql.SW_DNA)
 def _(v):
     return aligned(v).select("variant_id", "Local_score", F.round("Local_pct", 6).alias("Local_pct"), "local_ref", "local_alt")
 
 
-@on_variants("snv_flag")
+@on_variants("snv_flag", sql.SNV_FLAG)
 def _(v):
     return aligned(v).select("variant_id", "SNVs")
 
 
-@on_variants("insertion_len")
+@on_variants("insertion_len", sql.INSERTION_LEN)
 def _(v):
     return aligned(v).select("variant_id", "Insertion_length")
 
@@ -69,18 +70,18 @@ def _(v):
     return protein_aligned(v).select("variant_id", "AA_Local_score")
 
 
-@on_variants("hairpin_delta")
+@on_variants("hairpin_delta", sql.HAIRPINS)
 def _(v):
     return v.select("variant_id", structure.hairpin_delta(dna.buffered(ref, left, right), dna.buffered(alt, left, right)).alias("hairpins"))
 
 
-@on_variants("repeat_changes")
+@on_variants("repeat_changes", sql.REPEATS)
 def _(v):
     whole = [F.concat(left, s, right) for s in (ref, alt)]
     return v.select("variant_id", structure.repeat_changes(*whole, dna.buffered(ref, left, right), dna.buffered(alt, left, right)).alias("r")).select("variant_id", "r.*")
 
 
-@on_variants("best_orf")
+@on_variants("best_orf", sql.BEST_ORF)
 def _(v):
     p = features.with_proteins(v)
     return p.select("variant_id", F.col("ref_orf.start").alias("start"), F.col("ref_orf.end").alias("end"), F.col("ref_orf.score").alias("score"), F.col("ref_orf.reverse").alias("reverse"), F.col("ref_orf.protein").alias("protein"))
@@ -91,15 +92,19 @@ def _(v):
     return v.select("variant_id", viterbi.viterbi(F.concat(left, ref, right)).alias("p")).select("variant_id", "p.path", F.round("p.log_probability", 6).alias("log_probability"))
 
 
-@on_variants("dna_motif_profile")
+def rounded(df: DataFrame) -> DataFrame:
+    return df.select("variant_id", *[F.round(f"`{c}`", 6).alias(c) for c in df.columns[1:]])
+
+
+@on_variants("dna_motif_profile", sql.dna_profile())
 def _(v):
-    return v.select("variant_id", motifs.dna_motifs(ref, alt, left, right).alias("m")).select("variant_id", "m.*")
+    return rounded(v.select("variant_id", motifs.dna_motifs(ref, alt, left, right).alias("m")).select("variant_id", "m.*"))
 
 
-@on_variants("protein_motif_profile")
+@on_variants("protein_motif_profile", sql.protein_profile())
 def _(v):
     p = features.with_proteins(v)
-    return p.select("variant_id", motifs.protein_motifs(F.col("ref_orf.protein"), F.col("alt_orf.protein")).alias("m")).select("variant_id", "m.*")
+    return rounded(p.select("variant_id", motifs.protein_motifs(F.col("ref_orf.protein"), F.col("alt_orf.protein")).alias("m")).select("variant_id", "m.*"))
 
 
 @on_variants("fingerprint_all")
