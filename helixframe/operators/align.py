@@ -1,11 +1,16 @@
 """Global and local alignment with linear gaps, as Arrow-batched functions.
 
 Traceback ties go left (a gap in the first sequence), then up, then diagonal; a local alignment starts at the first
-maximum in row order and stops at the first score of zero.
+maximum in row order and stops at the first score of zero.  A group of pairs is filled row by row at once; two rows of
+scores and one byte a cell for the way back are held, a group has at most CELLS cells unless one pair alone has more.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from dataclasses import dataclass
+
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -14,47 +19,88 @@ from ..config import DEFAULT, Config
 from ..functions.constants import HELIX, RESIDUES, SHEET, TURN
 
 Score = dict[tuple[str, str], int]
-
-
-def table(a: str, b: str, pair, gap: int, local: bool) -> list[list[int]]:
-    rows = [[0 if local else gap * j for j in range(len(b) + 1)]]
-    for i, x in enumerate(a, 1):
-        above, row = rows[-1], [0 if local else gap * i]
-        for j, y in enumerate(b, 1):
-            best = max(above[j - 1] + pair(x, y), above[j] + gap, row[-1] + gap)
-            row.append(max(best, 0) if local else best)
-        rows.append(row)
-    return rows
-
-
-def traced(a: str, b: str, pair, gap: int, local: bool) -> tuple[int, str, str]:
-    """(score, aligned a, aligned b)."""
-    s = table(a, b, pair, gap, local)
-    i, j = len(a), len(b)
-    if local:
-        top = max(map(max, s))
-        i = next(k for k, row in enumerate(s) if top in row)
-        j = s[i].index(top)
-    score, x, y = s[i][j], [], []
-    while (i or j) and not (local and s[i][j] == 0):
-        diagonal = s[i - 1][j - 1] + pair(a[i - 1], b[j - 1]) if i and j else None
-        up = s[i - 1][j] + gap if i else None
-        left = s[i][j - 1] + gap if j else None
-        here = s[i][j]
-        if left is not None and left == here:
-            j -= 1
-            x.append("-")
-            y.append(b[j])
-        elif up is not None and up == here:
-            i -= 1
-            x.append(a[i])
-            y.append("-")
+CELLS = 1 << 22
+STAY, LEFT, UP, DIAGONAL = range(4)
+
+
+def padded(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """(code points with zeros behind, lengths)."""
+    sizes = np.array([len(t) for t in texts], dtype=np.intp)
+    out = np.zeros((len(texts), int(sizes.max(initial=0))), dtype=np.uint32)
+    out[np.arange(out.shape[1]) < sizes[:, None]] = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
+    return out, sizes
+
+
+def groups(a: list[str], b: list[str]) -> Iterator[list[int]]:
+    """Places of pairs of like sizes, few enough to be filled together."""
+    group: list[int] = []
+    rows = columns = 0
+    for i in sorted(range(len(a)), key=lambda i: (len(a[i]), len(b[i]))):
+        rows, columns = max(rows, len(a[i]) + 1), max(columns, len(b[i]) + 1)
+        if group and (len(group) + 1) * rows * columns > CELLS:
+            yield group
+            group, rows, columns = [], len(a[i]) + 1, len(b[i]) + 1
+        group.append(i)
+    if group:
+        yield group
+
+
+@dataclass
+class Aligned:
+    """Scores of pairs, and their steps from the last one to the first."""
+
+    score: np.ndarray
+    steps: np.ndarray
+    end: tuple[np.ndarray, np.ndarray]
+
+
+def aligned(x: np.ndarray, y: np.ndarray, sizes: tuple[np.ndarray, np.ndarray], pair, gap: int, local: bool) -> Aligned:
+    """pair: the scores of a column of symbols of the first sequences with all symbols of the second ones."""
+    n, (rows, columns) = len(x), (x.shape[1], y.shape[1])
+    fall = gap * np.arange(columns + 1, dtype=np.int32)
+    row = np.tile(np.zeros_like(fall) if local else fall, (n, 1))
+    way = np.zeros((n, rows + 1, columns + 1), dtype=np.uint8)
+    if not local:
+        way[:, 0, 1:], way[:, 1:, 0] = LEFT, UP
+    each = np.arange(n)
+    inside = np.arange(columns + 1) <= sizes[1][:, None]
+    score = np.where(sizes[0] == 0, 0 if local else row[each, sizes[1]], 0).astype(np.int32)
+    end = (np.zeros(n, dtype=np.intp), np.zeros(n, dtype=np.intp)) if local else (sizes[0].copy(), sizes[1].copy())
+    for i in range(1, rows + 1):
+        reached = np.empty_like(row)
+        reached[:, 0] = 0 if local else gap * i
+        reached[:, 1:] = np.maximum(row[:, :-1] + pair(x[:, i - 1], y), row[:, 1:] + gap)
+        if local:
+            np.maximum(reached, 0, out=reached)
+        new = np.maximum.accumulate(reached - fall, axis=1) + fall
+        step = np.where(new[:, 1:] == new[:, :-1] + gap, LEFT, np.where(new[:, 1:] == row[:, 1:] + gap, UP, DIAGONAL))
+        way[:, i, 1:] = np.where(new[:, 1:] == 0, STAY, step) if local else step
+        row = new
+        if local:
+            place = np.where(inside, row, -1).argmax(1)
+            better = (sizes[0] >= i) & (row[each, place] > score)
+            score[better], end[0][better], end[1][better] = row[each, place][better], i, place[better]
         else:
-            assert diagonal == here
-            i, j = i - 1, j - 1
-            x.append(a[i])
-            y.append(b[j])
-    return score, "".join(reversed(x)), "".join(reversed(y))
+            last = sizes[0] == i
+            score[last] = row[each, sizes[1]][last]
+    steps, (i, j) = [], (end[0].copy(), end[1].copy())
+    while (step := way[each, i, j]).any():
+        steps.append(step)
+        i -= (step == UP) | (step == DIAGONAL)
+        j -= (step == LEFT) | (step == DIAGONAL)
+    return Aligned(score, np.array(steps, dtype=np.uint8).reshape(len(steps), n), end)
+
+
+def written(found: Aligned, k: int, a: str, b: str) -> tuple[str, str]:
+    """The aligned parts of a pair's sequences."""
+    i, j, x, y = int(found.end[0][k]), int(found.end[1][k]), [], []
+    for step in found.steps[:, k].tolist():
+        if step == STAY:
+            break
+        i, j = i - (step != LEFT), j - (step != UP)
+        x.append("-" if step == LEFT else a[i])
+        y.append("-" if step == UP else b[j])
+    return "".join(reversed(x)), "".join(reversed(y))
 
 
 def similarity() -> Score:
@@ -68,46 +114,72 @@ DNA_SCHEMA = "Global_score int, Global_pct double, Local_score int, Local_pct do
 PROTEIN_SCHEMA = "AA_Global_score int, AA_Global_pct double, AA_Local_score int"
 
 
+def dna_rows(a: list[str], b: list[str], match: int = DEFAULT.match, mismatch: int = DEFAULT.mismatch) -> pd.DataFrame:
+    """Alignment features of pairs of alleles; symbols match only themselves."""
+    pair = lambda x, y: np.where(x[:, None] == y, np.int32(match), np.int32(mismatch))
+    out: list[dict] = [{}] * len(a)
+    for group in groups(a, b):
+        (x, nx), (y, ny) = padded([a[i] for i in group]), padded([b[i] for i in group])
+        whole, part = (aligned(x, y, (nx, ny), pair, mismatch, local) for local in (False, True))
+        for k, i in enumerate(group):
+            (u, v), (p, q) = (written(f, k, a[i], b[i]) for f in (whole, part))
+            same = sum(r == s for r, s in zip(u, v))
+            gaps = u.count("-") + v.count("-")
+            out[i] = {
+                "Global_score": int(whole.score[k]),
+                "Global_pct": 100.0 * same / len(u) if u else 0.0,
+                "Local_score": int(part.score[k]),
+                "Local_pct": 100.0 * len(p) / len(a[i]) if a[i] else 0.0,
+                "SNVs": int(len(u) - same - gaps == 1 and gaps == 0),
+                "Insertion_length": sum(r == "-" and s != "-" for r, s in zip(u, v)),
+                "global_ref": u, "global_alt": v, "local_ref": p, "local_alt": q,
+            }
+    return pd.DataFrame(out, columns=[c.split()[0] for c in DNA_SCHEMA.split(", ")])
+
+
 def dna_alignment(a: str, b: str, match: int = DEFAULT.match, mismatch: int = DEFAULT.mismatch) -> dict:
-    """Alignment features of a pair of alleles; symbols match only themselves."""
-    pair = lambda x, y: match if x == y else mismatch
-    score, x, y = traced(a, b, pair, mismatch, False)
-    local, p, q = traced(a, b, pair, mismatch, True)
-    same = sum(u == v for u, v in zip(x, y))
-    gaps = x.count("-") + y.count("-")
-    return {
-        "Global_score": score,
-        "Global_pct": 100.0 * same / len(x) if x else 0.0,
-        "Local_score": local,
-        "Local_pct": 100.0 * len(p) / len(a) if a else 0.0,
-        "SNVs": int(len(x) - same - gaps == 1 and gaps == 0),
-        "Insertion_length": sum(u == "-" and v != "-" for u, v in zip(x, y)),
-        "global_ref": x, "global_alt": y, "local_ref": p, "local_alt": q,
-    }
-
-
-def protein_alignment(a: str, b: str, scores: Score, gap: int = DEFAULT.protein_gap) -> dict:
-    pair = lambda x, y: scores.get((x, y), gap)
-    score, x, y = traced(a, b, pair, gap, False)
-    same = sum(u == v for u, v in zip(x, y))
-    return {
-        "AA_Global_score": score,
-        "AA_Global_pct": 100.0 * same / len(x) if x else 0.0,
-        "AA_Local_score": max(map(max, table(a, b, pair, gap, True))),
-    }
+    return dna_rows([a], [b], match, mismatch).to_dict("records")[0]
+
+
+def protein_rows(a: list[str], b: list[str], scores: Score, gap: int = DEFAULT.protein_gap) -> pd.DataFrame:
+    """Alignment features of pairs of proteins; pairs of residues without a score count as a gap."""
+    symbols = np.array(sorted({ord(c) for p in scores for c in p} | {0}), dtype=np.uint32)
+    table = np.full((len(symbols) + 1,) * 2, gap, dtype=np.int32)
+    number = {chr(c): i for i, c in enumerate(symbols)}
+    for (p, q), value in scores.items():
+        table[number[p], number[q]] = value
+
+    def coded(x: np.ndarray) -> np.ndarray:
+        at = np.minimum(np.searchsorted(symbols, x), len(symbols) - 1)
+        return np.where(symbols[at] == x, at, len(symbols))
+
+    out = np.zeros((3, len(a)))
+    for group in groups(a, b):
+        (x, nx), (y, ny) = padded([a[i] for i in group]), padded([b[i] for i in group])
+        cx, cy = coded(x), coded(y)
+        pair = lambda p, q: table[p[:, None], q]
+        whole, part = (aligned(cx, cy, (nx, ny), pair, gap, local) for local in (False, True))
+        i, j, same = nx.copy(), ny.copy(), np.zeros(len(group))
+        for step in whole.steps:
+            i -= (step == UP) | (step == DIAGONAL)
+            j -= (step == LEFT) | (step == DIAGONAL)
+            on = np.flatnonzero(step == DIAGONAL)
+            same[on] += x[on, i[on]] == y[on, j[on]]
+        size = (whole.steps != STAY).sum(0)
+        out[:, group] = whole.score, 100.0 * same / np.maximum(size, 1), part.score
+    made = pd.DataFrame(dict(zip(("AA_Global_score", "AA_Global_pct", "AA_Local_score"), out)))
+    return made.astype({"AA_Global_score": "int32", "AA_Local_score": "int32"})
 
 
 def dna_alignments(ref: Column, alt: Column, config: Config = DEFAULT) -> Column:
     """A struct of DNA_SCHEMA.  Nulls count as empty alleles."""
 
     def run(a: pd.Series, b: pd.Series) -> pd.DataFrame:
-        known: dict = {}  # alleles repeat
-        rows = []
-        for x, y in zip(a.fillna(""), b.fillna("")):
-            if (x, y) not in known:
-                known[x, y] = dna_alignment(x, y, config.match, config.mismatch)
-            rows.append(known[x, y])
-        return pd.DataFrame(rows)
+        pairs = list(zip(a.fillna(""), b.fillna("")))
+        known = list(dict.fromkeys(pairs))  # alleles repeat
+        made = dna_rows([x for x, _ in known], [y for _, y in known], config.match, config.mismatch)
+        place = {p: i for i, p in enumerate(known)}
+        return made.iloc[[place[p] for p in pairs]].reset_index(drop=True)
 
     return F.pandas_udf(run, DNA_SCHEMA)(ref, alt)
 
@@ -117,6 +189,6 @@ def protein_alignments(ref: Column, alt: Column, scores: Score | None = None, ga
     scores = scores or similarity()
 
     def run(a: pd.Series, b: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame([protein_alignment(x, y, scores, gap) for x, y in zip(a.fillna(""), b.fillna(""))])
+        return protein_rows(a.fillna("").tolist(), b.fillna("").tolist(), scores, gap)
 
     return F.pandas_udf(run, PROTEIN_SCHEMA)(ref, alt)

@@ -13,7 +13,7 @@ from ..config import DEFAULT
 from ..functions.constants import CODONS, IUPAC, START_SCORES
 
 _STARTS = re.compile("|".join(START_SCORES))
-_STOPS = {c for c, a in CODONS.items() if a == "_"}
+_TO_STOP = re.compile(f"(?s)(?:...)*?(?:{'|'.join(c for c, a in CODONS.items() if a == '_')})")
 _COMPLEMENT = str.maketrans("ATCG", "TAGC")
 SCHEMA = "residues array<array<string>>, protein string, length int, score double, start int, end int, reverse boolean"
 
@@ -34,11 +34,11 @@ def best_frame(s: str, least: int = DEFAULT.min_protein) -> tuple[int, int, floa
     best = (0, len(s), 0.0)
     for m in _STARTS.finditer(s):
         a = m.start()
-        stop = next((i for i in range(a + 3, len(s) - 2, 3) if s[i : i + 3] in _STOPS), None)
-        if stop is not None and stop - a >= 3 * least:
-            score = START_SCORES[m[0]] + kozak(s, a) + (stop + 3 - a) / least * 100
+        stop = _TO_STOP.match(s, a + 3)
+        if stop is not None and stop.end() - 3 - a >= 3 * least:
+            score = START_SCORES[m[0]] + kozak(s, a) + (stop.end() - a) / least * 100
             if score > best[2]:
-                best = (a, stop + 3, float(score))
+                best = (a, stop.end(), float(score))
     return best
 
 

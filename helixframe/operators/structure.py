@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 from collections import Counter
+from itertools import combinations
 
 import numpy as np
 import pandas as pd
@@ -15,34 +16,50 @@ from ..config import DEFAULT, Config
 STEM, LOOP, MISMATCHES = 4, 3, 2
 _PAIR = np.arange(256, dtype=np.uint8)
 _PAIR[[65, 84, 67, 71]] = [84, 65, 71, 67]
+#: Sequences that are searched together.
+TOGETHER = 1000
 
 
-def hairpins(s: str) -> int:
-    """Stems with a complementary stem behind a loop.
+def hairpins(sequences: list[str]) -> np.ndarray:
+    """Stems of each sequence with a complementary stem behind a loop.
 
     Two stems pair if at most MISMATCHES of their bases, in the same order, are not complements; the last possible first
-    stem is not tried, as the definition has it.
+    stem is not tried, as the definition has it.  Such stems agree in STEM - MISMATCHES places at least, so a stem has a
+    partner if the last stem with the complements of its bases in some choice of so many places is far enough.
     """
-    n = len(s)
-    if n <= 2 * STEM + LOOP:
-        return 0
-    c = np.frombuffer(s.encode("latin-1", "replace"), dtype=np.uint8)
-    differ = (_PAIR[c][:, None] != c[None, :]).astype(np.int8)
-    m = n - STEM + 1
-    total = sum(differ[u : u + m, u : u + m] for u in range(STEM))
-    near = np.triu(total <= MISMATCHES, STEM + LOOP)
-    return int(near[: n - 2 * STEM - LOOP].any(1).sum())
+    parts = [_hairpins(sequences[i : i + TOGETHER]) for i in range(0, len(sequences), TOGETHER)]
+    return np.concatenate(parts) if parts else np.zeros(0, dtype=np.int64)
+
+
+def _hairpins(sequences: list[str]) -> np.ndarray:
+    n = len(sequences)
+    sizes = np.array([len(s) for s in sequences], dtype=np.intp)
+    text = np.frombuffer("".join(sequences).encode("latin-1", "replace"), dtype=np.uint8)
+    alphabet = np.unique(np.concatenate([text, _PAIR[text]]))
+    code, other = np.searchsorted(alphabet, text), np.searchsorted(alphabet, _PAIR[text])
+    stems = np.maximum(sizes - STEM + 1, 0)
+    of = np.repeat(np.arange(n), stems)
+    place = np.arange(len(of)) - np.repeat(np.cumsum(stems) - stems, stems)
+    at = (np.cumsum(sizes) - sizes)[of] + place
+    far = np.full(len(of), -1)
+    for chosen in combinations(range(STEM), STEM - MISMATCHES):
+        mine, wanted = of, of
+        for k in chosen:
+            mine, wanted = mine * len(alphabet) + code[at + k], wanted * len(alphabet) + other[at + k]
+        last = np.full(n * len(alphabet) ** len(chosen), -1)
+        np.maximum.at(last, mine, place)
+        far = np.maximum(far, last[wanted])
+    found = (far >= place + STEM + LOOP) & (place < sizes[of] - 2 * STEM - LOOP)
+    return np.bincount(of[found], minlength=n)
 
 
 def tandem_runs(whole: str, window: str, config: Config = DEFAULT) -> dict[str, int]:
     """Bases in runs of each repeated unit: units frequent in the whole sequence, runs within the window."""
-    counts = Counter(whole[i : i + k] for k in range(config.k_min, config.k_max) for i in range(len(whole) - k + 1))
     least, out = config.min_repeats, {}
-    for unit, n in counts.items():
-        if n >= least and unit * least in window:
-            runs = [len(m[0]) for m in re.finditer(f"(?:{re.escape(unit)}){{{least},}}", window)]
-            if runs:
-                out[unit] = sum(runs)
+    for k in range(config.k_min, config.k_max):
+        for unit in {m[1] for m in re.finditer(f"(?s)(?=(.{{{k}}})\\1{{{least - 1}}})", window)}:
+            if len(re.findall(f"(?={re.escape(unit)})", whole)) >= least:
+                out[unit] = sum(len(m[0]) for m in re.finditer(f"(?:{re.escape(unit)}){{{least},}}", window))
     return out
 
 
@@ -80,7 +97,7 @@ def hairpin_delta(ref: Column, alt: Column) -> Column:
     """Change of the number of hairpins between two windows.  Nulls count as empty."""
 
     def run(a: pd.Series, b: pd.Series) -> pd.Series:
-        return pd.Series([hairpins(y) - hairpins(x) for x, y in zip(a.fillna(""), b.fillna(""))], dtype="int32")
+        return pd.Series(hairpins(b.fillna("").tolist()) - hairpins(a.fillna("").tolist())).astype("int32")
 
     return F.pandas_udf(run, "int")(ref, alt)
 

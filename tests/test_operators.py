@@ -14,6 +14,54 @@ from helixframe.operators import align, domains, motifs, orf, structure, viterbi
 DNA = st.text("ACGT", max_size=12)
 
 
+def plain_table(a, b, pair, gap, local):
+    rows = [[0 if local else gap * j for j in range(len(b) + 1)]]
+    for i, x in enumerate(a, 1):
+        above, row = rows[-1], [0 if local else gap * i]
+        for j, y in enumerate(b, 1):
+            best = max(above[j - 1] + pair(x, y), above[j] + gap, row[-1] + gap)
+            row.append(max(best, 0) if local else best)
+        rows.append(row)
+    return rows
+
+
+def plain_alignment(a, b, pair, gap, local):
+    s, i, j = plain_table(a, b, pair, gap, local), len(a), len(b)
+    if local:
+        top = max(map(max, s))
+        i = next(k for k, row in enumerate(s) if top in row)
+        j = s[i].index(top)
+    score, x, y = s[i][j], "", ""
+    while (i or j) and not (local and s[i][j] == 0):
+        if j and s[i][j - 1] + gap == s[i][j]:
+            j, x, y = j - 1, "-" + x, b[j - 1] + y
+        elif i and s[i - 1][j] + gap == s[i][j]:
+            i, x, y = i - 1, a[i - 1] + x, "-" + y
+        else:
+            i, j, x, y = i - 1, j - 1, a[i - 1] + x, b[j - 1] + y
+    return score, x, y
+
+
+@settings(max_examples=100, deadline=None)
+@given(st.lists(st.tuples(st.text("ACGTN", max_size=12), st.text("ACGTN", max_size=12)), max_size=6), st.sampled_from([1 << 22, 100]))
+def test_alignments_as_cell_by_cell(pairs, cells):
+    """Whole alignments of groups of pairs, of any sizes together, are those of filling one cell after another."""
+    pair = lambda p, q: 1 if p == q else -1
+    scores = {(p, q): 5 if p == q else -ord(q) % 3 for p in "ACGT" for q in "ACGT"}
+    of = lambda p, q: scores.get((p, q), -8)
+    with pytest.MonkeyPatch.context() as patch:
+        patch.setattr(align, "CELLS", cells)
+        made = align.dna_rows([a for a, _ in pairs], [b for _, b in pairs]).to_dict("records")
+        protein = align.protein_rows([a for a, _ in pairs], [b for _, b in pairs], scores, -8).to_dict("records")
+    assert len(made) == len(protein) == len(pairs)
+    for (a, b), x, p in zip(pairs, made, protein):
+        assert (x["Global_score"], x["global_ref"], x["global_alt"]) == plain_alignment(a, b, pair, -1, False)
+        assert (x["Local_score"], x["local_ref"], x["local_alt"]) == plain_alignment(a, b, pair, -1, True)
+        score, u, v = plain_alignment(a, b, of, -8, False)
+        assert p["AA_Global_score"] == score and p["AA_Local_score"] == max(map(max, plain_table(a, b, of, -8, True)))
+        assert p["AA_Global_pct"] == pytest.approx(100 * sum(r == s for r, s in zip(u, v)) / len(u) if u else 0)
+
+
 @settings(max_examples=200, deadline=None)
 @given(DNA, DNA)
 def test_alignment(a, b):
@@ -24,7 +72,7 @@ def test_alignment(a, b):
     assert x["Local_score"] >= max(0, x["Global_score"]) and x["local_ref"].replace("-", "") in a
     assert align.dna_alignment(a, a)["Global_score"] == len(a)
     pair = lambda p, q: 1 if p == q else -1
-    best = max(map(max, align.table(a, b, pair, -1, True)))
+    best = max(map(max, plain_table(a, b, pair, -1, True)))
     assert best == x["Local_score"]
 
 
@@ -33,7 +81,7 @@ def test_alignment_of_known_gene():
     assert (x["Global_score"], x["Local_score"], x["SNVs"], x["Insertion_length"]) == (-13, 1, 0, 0)
     assert x["Global_pct"] == pytest.approx(100 / 15) and x["Local_pct"] == pytest.approx(100 / 15)
     assert structure.entropy("GCTGCTGGACCTGCC") == pytest.approx(5.6879512682)
-    assert structure.hairpins("GCTGCTGGACCTGCC") == 2
+    assert structure.hairpins(["GCTGCTGGACCTGCC"]).tolist() == [2]
     s = "GCTGCTGGACCTGCC"
     assert sum(stacking_energies()[s[i : i + 2]] for i in range(14)) == pytest.approx(-22.66)
 
@@ -47,9 +95,28 @@ def brute_hairpins(s):
 
 
 @settings(max_examples=100, deadline=None)
-@given(st.text("ACGTN", max_size=40))
-def test_hairpins(s):
-    assert structure.hairpins(s) == brute_hairpins(s)
+@given(st.lists(st.text("ACGTNR", max_size=40), max_size=5), st.sampled_from([1000, 2]))
+def test_hairpins(sequences, together):
+    with pytest.MonkeyPatch.context() as patch:
+        patch.setattr(structure, "TOGETHER", together)
+        assert structure.hairpins(sequences).tolist() == [brute_hairpins(s) for s in sequences]
+
+
+@settings(max_examples=100, deadline=None)
+@given(st.text("AC", max_size=60), st.integers(0, 10))
+def test_tandem_runs_as_counts(whole, cut):
+    """Units counted one by one in the whole sequence, runs sought in the window."""
+    window, want = whole[cut:], {}
+    for unit in {whole[i : i + k] for k in range(2, 7) for i in range(len(whole) - k + 1)}:
+        if sum(whole[i : i + len(unit)] == unit for i in range(len(whole))) >= 5 and unit * 5 in window:
+            i = n = 0
+            while i < len(window):
+                run = 0
+                while window.startswith(unit * (run + 1), i):
+                    run += 1
+                n, i = (n + run * len(unit), i + run * len(unit)) if run >= 5 else (n, i + 1)
+            want[unit] = n
+    assert structure.tandem_runs(whole, window) == want
 
 
 def test_repeats():
