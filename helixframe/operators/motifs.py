@@ -90,6 +90,11 @@ PROTEIN_MOTIFS = [
     )
 ]
 STAT6 = "GYKAF"
+#: Ends that PDZ domains bind: classes 1 and 2, a tryptophan before the last residue, and the inner motif of one family.
+PDZ_MOTIFS = [
+    from_consensus(*m, alphabet=RESIDUES)
+    for m in (("pdz_dvl", "PDZ", "xxxKTxxxWxx"), ("pdz_class1", "PDZ", "xxx[ST]x[VLI]"), ("pdz_class2", "PDZ", "xxx[VLIMFYW]x[VLIMFYW]"), ("pdz_wminus1", "PDZ", "[ST]W[VLI]"))
+]
 
 
 class Batch:
@@ -197,10 +202,9 @@ PROTEIN_FEATURES = [
 ]
 
 
-def protein_profile(ref: pd.Series, alt: pd.Series, motifs: list[Motif], config: Config) -> pd.DataFrame:
-    """Motif features of two proteins, alternate less reference."""
-    n, far = len(ref), config.protein_cluster
-    sides = []
+def protein_sides(ref: pd.Series, alt: pd.Series, motifs: list[Motif], far: int) -> list[list[tuple]]:
+    """For both proteins, each motif's counts, scores, clusters and high windows."""
+    n, sides = len(ref), []
     for p in (ref, alt):
         batch, side = Batch(p.tolist(), RESIDUES), []
         for m in motifs:
@@ -209,11 +213,38 @@ def protein_profile(ref: pd.Series, alt: pd.Series, motifs: list[Motif], config:
             picked = of[high], place[high], score[high]
             side.append((np.bincount(of, minlength=n), np.bincount(of, score, minlength=n), clusters(*picked, n, far), picked))
         sides.append(side)
+    return sides
+
+
+def domain_shift(sides: list[list[tuple]], mine: list[int], n: int, far: int) -> list[np.ndarray]:
+    """Count, score, clusters of each motif and clusters of the domain, alternate less reference."""
+    sums = [sum((sides[1][i][k] - sides[0][i][k] for i in mine), np.zeros(n)) for k in range(3)]
+    whole = np.subtract(*(in_motif_order([side[i][3] for i in mine], n, far) for side in sides[::-1])) if mine else np.zeros(n)
+    return [*sums, whole]
+
+
+PDZ_FEATURES = ["PDZ_count_delta", "PDZ_score_delta", "PDZ_clusters_delta", "PDZ_domain_cluster_delta"]
+
+
+def pdz_motifs(ref: Column, alt: Column, motifs: list[Motif] | None = None, config: Config = DEFAULT) -> Column:
+    """A struct of PDZ_FEATURES of two proteins.  Nulls count as empty."""
+    motifs, far = motifs or PDZ_MOTIFS, config.protein_cluster
+
+    def run(a: pd.Series, b: pd.Series) -> pd.DataFrame:
+        sides = protein_sides(a.fillna(""), b.fillna(""), motifs, far)
+        return pd.DataFrame(dict(zip(PDZ_FEATURES, domain_shift(sides, list(range(len(motifs))), len(a), far)))).astype(float)
+
+    return F.pandas_udf(run, ", ".join(f"{c} double" for c in PDZ_FEATURES))(ref, alt)
+
+
+def protein_profile(ref: pd.Series, alt: pd.Series, motifs: list[Motif], config: Config) -> pd.DataFrame:
+    """Motif features of two proteins, alternate less reference."""
+    n, far = len(ref), config.protein_cluster
+    sides = protein_sides(ref, alt, motifs, far)
     out: dict[str, np.ndarray] = {}
     for domain in (*PTM, "SH2", "1433"):
         mine = [i for i, m in enumerate(motifs) if m.domain == domain]
-        count, score, cluster = (sum((sides[1][i][k] - sides[0][i][k] for i in mine), np.zeros(n)) for k in range(3))
-        whole = np.subtract(*(in_motif_order([side[i][3] for i in mine], n, far) for side in sides[::-1])) if mine else np.zeros(n)
+        count, score, cluster, whole = domain_shift(sides, mine, n, far)
         names = {"SH2": ("clusters_delta", "domain_cluster_score"), "1433": ("clusters_delta", "cluster_domain_delta")}.get(domain, ("clusters_composite_delta", "domain_cluster_delta"))
         out |= {f"{domain}_score_delta": score, f"{domain}_count_delta": count, f"{domain}_{names[0]}": cluster, f"{domain}_{names[1]}": whole}
     out["Total_PTM_cluster_composite_delta"] = sum(out[f"{d}_clusters_composite_delta"] for d in PTM)

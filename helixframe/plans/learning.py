@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import random
 from dataclasses import dataclass, field
 
 from pyspark.ml import Pipeline, PipelineModel
@@ -111,10 +112,15 @@ def variance_sift(df: DataFrame, features: list[str], least: float) -> list[str]
     return [c for c in features if c in kept]
 
 
-def train(df: DataFrame, features: list[str], label: str = "label", rounds: int = 20, depth: int = 4, seed: int = 42) -> PipelineModel:
-    """A gradient-boosted classifier; nulls and NaN in features count as 0."""
-    stages = [VectorAssembler(inputCols=features, outputCol="features"), GBTClassifier(labelCol=label, maxIter=rounds, maxDepth=depth, stepSize=0.1, subsamplingRate=0.8, seed=seed)]
-    return Pipeline(stages=stages).fit(filled(df, features))
+def train(df: DataFrame, features: list[str], label: str = "label", rounds: int = 20, depth: int = 4, seed: int = 42, step: float = 0.1, share: float = 0.8, held: str | None = None) -> PipelineModel:
+    """A gradient-boosted classifier; nulls and NaN in features count as 0.
+
+    held: a boolean column; its rows are not learned from, and boosting stops when their loss no longer falls.
+    """
+    trees = GBTClassifier(labelCol=label, maxIter=rounds, maxDepth=depth, stepSize=step, subsamplingRate=share, seed=seed)
+    if held:
+        trees = trees.setValidationIndicatorCol(held)
+    return Pipeline(stages=[VectorAssembler(inputCols=features, outputCol="features"), trees]).fit(filled(df, features))
 
 
 def filled(df: DataFrame, features: list[str]) -> DataFrame:
@@ -140,12 +146,12 @@ class Scores:
         return self.roc + self.pr + self.f1
 
 
-def cross_validation(df: DataFrame, features: list[str], k: int = 3, key: str = "variant_id", label: str = "label", rounds: int = 10) -> Scores:
-    """Mean metrics and importances over stratified folds."""
+def cross_validation(df: DataFrame, features: list[str], k: int = 3, key: str = "variant_id", label: str = "label", rounds: int = 10, **parameters) -> Scores:
+    """Mean metrics and importances over stratified folds.  parameters: of train()."""
     dealt = folds(df, key, label, k).cache()
     found = []
     for i in range(k):
-        model = train(dealt.where(F.col("fold") != i), features, label, rounds)
+        model = train(dealt.where(F.col("fold") != i), features, label, rounds, **parameters)
         held = score(model, dealt.where(F.col("fold") == i), features).select(label, "prob_pathogenic").cache()
         parts = [f(held, "prob_pathogenic", label).first() for f in (roc_auc, pr_auc, best_f1)]
         weight = model.stages[-1].featureImportances.toArray()
@@ -156,6 +162,52 @@ def cross_validation(df: DataFrame, features: list[str], k: int = 3, key: str =
     return Scores(mean(lambda s: s.roc), mean(lambda s: s.pr), mean(lambda s: s.f1), {c: mean(lambda s, c=c: s.importance[c]) for c in features})
 
 
+def class_ratio(df: DataFrame, label: str) -> DataFrame:
+    """(label, n, share) of each class, nulls included."""
+    counts = df.groupBy(label).agg(F.count("*").alias("n"))
+    total = counts.agg(F.sum("n").alias("_total"))
+    return counts.crossJoin(F.broadcast(total)).select(label, "n", (F.col("n") / F.col("_total")).alias("share"))  # one row
+
+
+@dataclass
+class Evaluation:
+    model: PipelineModel
+    summary: dict[str, float]
+    confusion: list[tuple[int, int, int]]
+
+
+def evaluate(df: DataFrame, features: list[str], key: str = "variant_id", label: str = "label", k: int = 5, rounds: int = 20) -> Evaluation:
+    """Metrics over folds, then a fit with early stopping, judged on a test set that neither saw.
+
+    A fifth of each class is the test set; of the others, a fifth of each class decides when boosting stops.
+    """
+    split = stratified_split(df, key, label)
+    learned, test = split.where("not is_test").drop("is_test"), split.where("is_test")
+    folds_ = cross_validation(learned, features, k, key, label, rounds)
+    held = stratified_split(learned, key, label, seed=7)
+    model = train(held, features, label, rounds, held="is_test")
+    scored = score(model, test, features).select(label, "prob_pathogenic", "predicted").cache()
+    table = [tuple(r) for r in confusion(scored, label, "predicted").collect()]
+    f1 = best_f1(scored, "prob_pathogenic", label).first()
+    parts = {"roc_auc": roc_auc(scored, "prob_pathogenic", label).first()[0], "pr_auc": pr_auc(scored, "prob_pathogenic", label).first()[0]}
+    scored.unpersist()
+    wrong = {"false_negatives": float(sum(n for y, p, n in table if y == 1 and p == 0)), "false_positives": float(sum(n for y, p, n in table if y == 0 and p == 1))}
+    means = {"fold_roc_auc": folds_.roc, "fold_pr_auc": folds_.pr, "fold_f1": folds_.f1}
+    best = {"f1": f1["f1"] if f1 else None, "best_threshold": f1["threshold"] if f1 else None}
+    return Evaluation(model, means | parts | wrong | best | {"rounds": float(model.stages[-1].getNumTrees)}, table)
+
+
+def random_search(df: DataFrame, features: list[str], trials: int = 20, k: int = 5, seed: int = 42, **columns) -> tuple[dict, float]:
+    """(parameters of train(), mean F1 over folds) of the best of some random draws; the first of equal ones."""
+    draw = random.Random(seed)
+    best: tuple[dict, float] = ({}, -1.0)
+    for _ in range(trials):
+        tried = {"rounds": draw.randint(5, 40), "depth": draw.randint(2, 7), "step": 10 ** draw.uniform(-2, -0.5), "share": draw.uniform(0.5, 1.0)}
+        found = cross_validation(df, features, k, **columns, **tried).f1
+        best = max(best, (tried, found), key=lambda x: x[1])
+    return best
+
+
 def binary_variance_search(trial, features_at, low: float = 0.0, high: float = 0.3, runs: int = 10, plateau: float = 0.005) -> tuple[float, float]:
     """(threshold, score): a search for the variance threshold of the best score.
 

@@ -107,6 +107,12 @@ def _(v):
     return rounded(p.select("variant_id", motifs.protein_motifs(F.col("ref_orf.protein"), F.col("alt_orf.protein")).alias("m")).select("variant_id", "m.*"))
 
 
+@on_variants("pdz_profile", sql.pdz_profile())
+def _(v):
+    p = features.with_proteins(v)
+    return rounded(p.select("variant_id", motifs.pdz_motifs(F.col("ref_orf.protein"), F.col("alt_orf.protein")).alias("m")).select("variant_id", "m.*"))
+
+
 @on_variants("fingerprint_all")
 def _(v):
     """The flagship: all 552 features of every variant."""
@@ -147,6 +153,24 @@ def _(v):
     return learning.score(model, split.where("is_test"), MODEL_FEATURES).select("variant_id", "label", "prob_benign", "prob_pathogenic", "predicted")
 
 
+@on_variants("class_ratio", "SELECT clinical_significance AS label, count(*) AS n, round(count(*) / sum(count(*)) OVER (), 6)::DOUBLE AS share FROM v GROUP BY 1")
+def _(v):
+    return learning.class_ratio(v, "clinical_significance").select(F.col("clinical_significance").alias("label"), "n", F.round("share", 6).alias("share"))
+
+
+@on_variants("preview", "SELECT variant_id, chromosome, ref_allele, alt_allele FROM v ORDER BY variant_id LIMIT 5")
+def _(v):
+    """The first rows; a limit is what a preview is."""
+    return v.select("variant_id", "chromosome", ref, alt).orderBy("variant_id").limit(5)
+
+
+@on_variants("evaluate_model")
+def _(v):
+    """Fold metrics, errors of each kind, the best threshold and the rounds that early stopping left."""
+    made = learning.evaluate(labelled(v), MODEL_FEATURES)
+    return v.sparkSession.createDataFrame(sorted(made.summary.items()), "metric string, value double")
+
+
 @on_variants("feature_importance")
 def _(v):
     """Mean importances over stratified folds, largest first."""

@@ -187,3 +187,9 @@ def protein_profile() -> str:
     names |= {"NLS_count_delta": "len(nls)", "NES_count_delta": "len(nes)", "Nuclear_Signal_delta": "len(nls) + len(nes)", "NLS_cluster_delta": near("nls"), "NES_cluster_delta": near("nes"), "Total_Nuclear_Cluster_delta": near("signals")}
     found = f", found AS (SELECT variant_id, side, protein, {', '.join(f'{place(ps)} AS {k}' for k, ps in signals.items())} FROM proteins), joined AS (SELECT *, list_concat(nls, nes) AS signals FROM found)\n"
     return FRAMES + found + found_in("protein", motifs.PROTEIN_MOTIFS, RESIDUES, motifs.PROTEIN_THRESHOLD, "joined", "variant_id, side, nls, nes, stat6, signals") + shifts(names, "h")
+
+
+def pdz_profile() -> str:
+    far, mine = DEFAULT.protein_cluster, [m.name for m in motifs.PDZ_MOTIFS]
+    names = dict(zip(motifs.PDZ_FEATURES, (" + ".join(f"len(s_{m})" for m in mine), " + ".join(f"coalesce(list_sum(s_{m}), 0)" for m in mine), " + ".join(cluster_sum(f"h_{m}", far) for m in mine), cluster_sum("d_PDZ", far))))
+    return FRAMES + found_in("protein", motifs.PDZ_MOTIFS, RESIDUES, motifs.PROTEIN_THRESHOLD, "proteins", "variant_id, side") + shifts(names, "h")

@@ -22,6 +22,11 @@ def read_clinical(spark: SparkSession, path: str, partitions: int | None = None)
     return out.repartition(partitions) if partitions else out
 
 
+def write_clinical(df: DataFrame, path: str) -> None:
+    """Filtered variants as CSV with a header, a file for each partition."""
+    df.write.mode("overwrite").csv(path, header=True)
+
+
 def drop_literal_na(df: DataFrame) -> DataFrame:
     """Rows without nulls and without a string cell that is `na` in any case."""
     text = [c for c, kind in df.dtypes if kind == "string"]
