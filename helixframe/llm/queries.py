@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import corpus_pipeline
 
-from . import ann, bpe, embdedup, langid, mixing, passages, secrets, simhash, toxicity, urlfilter
+from . import ann, bpe, embdedup, fim, langid, mixing, passages, periodic, secrets, simhash, tokencount, toxicity, urlfilter
 
 QUERIES = {
     "op1_toxicity_mil": toxicity.op1_toxicity_mil,
@@ -17,6 +17,9 @@ QUERIES = {
     "op8_bpe_roundtrip": bpe.op8_bpe_roundtrip,
     "op9_secret_scan": secrets.op9_secret_scan,
     "op10_hierarchical_mix": mixing.op10_hierarchical_mix,
+    "op11_periodic_runs": periodic.op11_periodic_runs,
+    "op12_fill_in_middle": fim.op12_fill_in_middle,
+    "op13_token_counts": tokencount.op13_token_counts,
     "pipeline": corpus_pipeline.run,
 }
-ORACLES = {"op2_url_interval_join": urlfilter.ORACLE}
+ORACLES = {"op2_url_interval_join": urlfilter.ORACLE, "op11_periodic_runs": periodic.ORACLE, "op12_fill_in_middle": fim.ORACLE}
