@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..config import DEFAULT
 from ..functions import dna
 from ..operators import align, motifs, orf, repair, structure, viterbi
+from ..scratch import cut
 from ..sources.variants import VARIANTS_SQL, from_orders, label
 from . import features, learning
 from . import sequence_sql as sql
@@ -241,15 +242,3 @@ def _(v):
     copies = made.copies.select("variant_id", "alt_allele", "score", "retain", "iteration", F.lit(False).alias("reached"))
     return copies.unionByName(made.reached.withColumn("reached", F.lit(True)), allowMissingColumns=True)
 
-
-def cut(df: DataFrame) -> DataFrame:
-    """A reliable checkpoint in the folder that the session names; a folder of its own only where it names none, on one machine."""
-    import tempfile
-
-    sc = df.sparkSession.sparkContext
-    if sc.getCheckpointDir() is None:
-        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        if not folder and not sc.master.startswith("local["):
-            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="checkpoints-"))
-    return df.checkpoint()

@@ -8,7 +8,7 @@ from helixframe import catalog
 from helixframe.functions import dna, paths
 from helixframe.operators import domains, repair, viterbi
 from helixframe.plans import features, learning
-from helixframe.sources import fasta, matrices, variants
+from helixframe.sources import fasta, matrices, variant_fasta, variants
 from helixframe.streaming import scoring
 
 SF = "/root/testdata/sf0.001"
@@ -79,12 +79,12 @@ def test_context_at_the_ends(spark):
 
 def test_fasta_files(spark, tmp_path):
     (tmp_path / "a.fasta").write_text(">chr9|ref|gene1\nGCT\nGCT\n>chr9|alt|gene1\ng\n>chr9|flank1|gene1\nAA\n>chr9|flank_2|gene1\nCC\n>chr23|alt|g2\nT\n>chr23|ref|g2\nA\n>chr23|ref|g2\nC\n")
-    got = {r.name: r for r in fasta.read_variants(spark, str(tmp_path / "a.fasta")).collect()}
+    got = {r.name: r for r in variant_fasta.read_variants(spark, str(tmp_path / "a.fasta")).collect()}
     assert (got["gene1"].ref_allele, got["gene1"].alt_allele, got["gene1"].flank_1, got["gene1"].flank_2) == ("GCTGCT", "G", "AA", "CC")
     assert got["g2"].chromosome == 23 and got["g2"].ref_allele == "C"
     (tmp_path / "b.fasta").write_text(">chrX|ref|gene1\nGCT\n")
     with pytest.raises(Exception, match="not a variant record"):
-        fasta.read_variants(spark, str(tmp_path / "b.fasta")).collect()
+        variant_fasta.read_variants(spark, str(tmp_path / "b.fasta")).collect()
 
 
 def test_files_of_matrices_and_variants(spark, tmp_path):
