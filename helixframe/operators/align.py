@@ -1,8 +1,12 @@
 """Global and local alignment with linear gaps, as Arrow-batched functions.
 
 Traceback ties go left (a gap in the first sequence), then up, then diagonal; a local alignment starts at the first
-maximum in row order and stops at the first score of zero.  A group of pairs is filled row by row at once; two rows of
-scores and one byte a cell for the way back are held, a group has at most CELLS cells unless one pair alone has more.
+maximum in row order and stops at the first score of zero.
+
+Features need no way back: each cell carries the matches and mismatches of its own best way along with its score, so two
+rows are held whatever the sizes (`summed`).  Alignments as text walk back over one byte a cell (`aligned`), for groups of
+pairs of at most CELLS cells; a larger pair is halved at the column where its way crosses the middle row, which the cells
+below that row carry, until the parts are small (`way_of`).  All ties are resolved alike.
 """
 
 from __future__ import annotations
@@ -45,6 +49,111 @@ def groups(a: list[str], b: list[str]) -> Iterator[list[int]]:
         yield group
 
 
+SHIFT, CODE_BITS = 32, 21
+LOW = (1 << SHIFT) - 1
+
+
+@dataclass
+class Summed:
+    """Scores of pairs; matches, mismatches and unpaired symbols of either sequence on their ways; where the ways begin and end."""
+
+    score: np.ndarray
+    same: np.ndarray
+    other: np.ndarray
+    start: tuple[np.ndarray, np.ndarray]
+    end: tuple[np.ndarray, np.ndarray]
+
+    @property
+    def only_first(self) -> np.ndarray:
+        return self.end[0] - self.start[0] - self.same - self.other
+
+    @property
+    def only_second(self) -> np.ndarray:
+        return self.end[1] - self.start[1] - self.same - self.other
+
+    @property
+    def size(self) -> np.ndarray:
+        return self.same + self.other + self.only_first + self.only_second
+
+
+@dataclass
+class Row:
+    """A row of scores, and how each cell but the first is reached; cells that the left one reaches take after `source`."""
+
+    score: np.ndarray
+    up: np.ndarray
+    source: np.ndarray
+
+
+def next_row(row: np.ndarray, paired: np.ndarray, first: int, gap: int, local: bool, fall: np.ndarray) -> Row:
+    """The row of scores below one; paired: scores of its symbol with all of the second sequence."""
+    reached = np.empty_like(row)
+    reached[:, 0] = first
+    from_up = row[:, 1:] + gap
+    np.maximum(row[:, :-1] + paired, from_up, out=reached[:, 1:])
+    if local:
+        np.maximum(reached, 0, out=reached)
+    new = np.maximum.accumulate(reached - fall, axis=1) + fall
+    left = new[:, 1:] == new[:, :-1] + gap
+    source = np.tile(np.arange(row.shape[1]), (len(row), 1))
+    source[:, 1:][left] = 0
+    return Row(new, ~left & (new[:, 1:] == from_up), np.maximum.accumulate(source, axis=1))
+
+
+def inherited(above: np.ndarray, row: Row, first: np.ndarray | int, step: np.ndarray | int = 0) -> np.ndarray:
+    """What the cells of a row carry, from those above; step is added by a diagonal move."""
+    own = np.empty_like(above)
+    own[:, 0] = first
+    own[:, 1:] = np.where(row.up, above[:, 1:], above[:, :-1] + step)
+    return np.take_along_axis(own, row.source, axis=1)
+
+
+def summed(x: np.ndarray, y: np.ndarray, sizes: tuple[np.ndarray, np.ndarray], pair, gap: int, local: bool) -> Summed:
+    """Scores and counts in two rows.  pair: as aligned() has it."""
+    n, (rows, columns) = len(x), (x.shape[1], y.shape[1])
+    fall = gap * np.arange(columns + 1, dtype=np.int32)
+    score = np.tile(np.zeros_like(fall) if local else fall, (n, 1))
+    counts = np.zeros((n, columns + 1), dtype=np.int64)  # matches << SHIFT | mismatches
+    starts = np.tile(np.arange(columns + 1, dtype=np.int64), (n, 1)) if local else None  # row << SHIFT | column
+    each, inside = np.arange(n), np.arange(columns + 1) <= sizes[1][:, None]
+    top = np.where(sizes[0] == 0, 0 if local else score[each, sizes[1]], 0).astype(np.int32)
+    end = (np.zeros(n, dtype=np.int64), np.zeros(n, dtype=np.int64)) if local else (sizes[0].astype(np.int64), sizes[1].astype(np.int64))
+    kept, begun = np.zeros(n, dtype=np.int64), np.zeros(n, dtype=np.int64)
+    for i in range(1, rows + 1):
+        symbol = x[:, i - 1]
+        row = next_row(score, pair(symbol, y), 0 if local else gap * i, gap, local, fall)
+        score, counts = row.score, inherited(counts, row, 0, np.where(symbol[:, None] == y, 1 << SHIFT, 1))
+        if local:
+            zero = score == 0
+            counts[zero] = 0
+            starts = np.where(zero, (i << SHIFT) + np.arange(columns + 1, dtype=np.int64), inherited(starts, row, i << SHIFT))
+            place = np.where(inside, score, -1).argmax(1)
+            now = (sizes[0] >= i) & (score[each, place] > top)
+            end[0][now], end[1][now] = i, place[now]
+        else:
+            now, place = sizes[0] == i, sizes[1]
+        top[now], kept[now] = score[each, place][now], counts[each, place][now]
+        if local:
+            begun[now] = starts[each, place][now]
+    return Summed(top, kept >> SHIFT, kept & LOW, (begun >> SHIFT, begun & LOW), end)
+
+
+def way_of(x: np.ndarray, y: np.ndarray, pair, gap: int) -> np.ndarray:
+    """Steps of the whole alignment of one pair, from the last to the first, in memory that grows with its length."""
+    m, n = len(x), len(y)
+    if m < 2 or (m + 1) * (n + 1) <= CELLS:
+        return aligned(x[None], y[None], (np.array([m]), np.array([n])), pair, gap, False).steps[:, 0]
+    fall, middle = gap * np.arange(n + 1, dtype=np.int32), m // 2
+    score, crossing = fall[None], np.arange(n + 1, dtype=np.int64)[None]
+    for i in range(1, m + 1):
+        row = next_row(score, pair(x[i - 1 : i], y[None]), gap * i, gap, False, fall)
+        score = row.score
+        if i > middle:
+            crossing = inherited(crossing, row, 0)
+    at = int(crossing[0, n])
+    return np.concatenate([way_of(x[middle:], y[at:], pair, gap), way_of(x[:middle], y[:at], pair, gap)])
+
+
 @dataclass
 class Aligned:
     """Scores of pairs, and their steps from the last one to the first."""
@@ -91,10 +200,10 @@ def aligned(x: np.ndarray, y: np.ndarray, sizes: tuple[np.ndarray, np.ndarray],
     return Aligned(score, np.array(steps, dtype=np.uint8).reshape(len(steps), n), end)
 
 
-def written(found: Aligned, k: int, a: str, b: str) -> tuple[str, str]:
-    """The aligned parts of a pair's sequences."""
-    i, j, x, y = int(found.end[0][k]), int(found.end[1][k]), [], []
-    for step in found.steps[:, k].tolist():
+def written(steps: np.ndarray, end: tuple[int, int], a: str, b: str) -> tuple[str, str]:
+    """The aligned parts of a pair's sequences, from steps that lead back from their ends."""
+    (i, j), x, y = end, [], []
+    for step in steps.tolist():
         if step == STAY:
             break
         i, j = i - (step != LEFT), j - (step != UP)
@@ -110,35 +219,69 @@ def similarity() -> Score:
     return {(a, b): 5 if a == b else 1 if alike(a, b) else -2 for a in RESIDUES for b in RESIDUES}
 
 
-DNA_SCHEMA = "Global_score int, Global_pct double, Local_score int, Local_pct double, SNVs int, Insertion_length int, global_ref string, global_alt string, local_ref string, local_alt string"
+DNA_NUMBERS = "Global_score int, Global_pct double, Local_score int, Local_pct double, SNVs int, Insertion_length int"
+DNA_TEXTS = "global_ref string, global_alt string, local_ref string, local_alt string"
 PROTEIN_SCHEMA = "AA_Global_score int, AA_Global_pct double, AA_Local_score int"
 
 
+def row_groups(a: list[str], b: list[str]) -> Iterator[list[int]]:
+    """Places of pairs of like sizes whose rows, taken together, have at most CELLS / 16 cells."""
+    group: list[int] = []
+    for i in sorted(range(len(a)), key=lambda i: (len(b[i]), len(a[i]))):
+        if group and (len(group) + 1) * (len(b[i]) + 1) * 16 > CELLS:
+            yield group
+            group = []
+        group.append(i)
+    if group:
+        yield group
+
+
+def dna_pair(match: int, mismatch: int):
+    return lambda x, y: np.where(x[:, None] == y, np.int32(match), np.int32(mismatch))
+
+
 def dna_rows(a: list[str], b: list[str], match: int = DEFAULT.match, mismatch: int = DEFAULT.mismatch) -> pd.DataFrame:
     """Alignment features of pairs of alleles; symbols match only themselves."""
-    pair = lambda x, y: np.where(x[:, None] == y, np.int32(match), np.int32(mismatch))
-    out: list[dict] = [{}] * len(a)
-    for group in groups(a, b):
+    pair, out = dna_pair(match, mismatch), np.zeros((6, len(a)))
+    for group in row_groups(a, b):
         (x, nx), (y, ny) = padded([a[i] for i in group]), padded([b[i] for i in group])
+        whole, part = (summed(x, y, (nx, ny), pair, mismatch, local) for local in (False, True))
+        unpaired = whole.only_first + whole.only_second
+        out[:, group] = (
+            whole.score, 100.0 * whole.same / np.maximum(whole.size, 1), part.score, 100.0 * part.size / np.maximum(nx, 1),
+            (whole.other == 1) & (unpaired == 0), whole.only_second,
+        )
+    names = [c.split() for c in DNA_NUMBERS.split(", ")]
+    return pd.DataFrame({c: x.astype("int32" if kind == "int" else "float64") for (c, kind), x in zip(names, out)})
+
+
+def dna_texts(a: list[str], b: list[str], match: int = DEFAULT.match, mismatch: int = DEFAULT.mismatch) -> pd.DataFrame:
+    """The global and the local alignment of pairs of alleles."""
+    pair, out = dna_pair(match, mismatch), [("",) * 4] * len(a)
+    for group in groups(a, b):
+        pairs = [(a[i], b[i]) for i in group]
+        if len(group) == 1 and (len(pairs[0][0]) + 1) * (len(pairs[0][1]) + 1) > CELLS:
+            out[group[0]] = long_texts(*pairs[0], pair, mismatch)
+            continue
+        (x, nx), (y, ny) = padded([p for p, _ in pairs]), padded([q for _, q in pairs])
         whole, part = (aligned(x, y, (nx, ny), pair, mismatch, local) for local in (False, True))
         for k, i in enumerate(group):
-            (u, v), (p, q) = (written(f, k, a[i], b[i]) for f in (whole, part))
-            same = sum(r == s for r, s in zip(u, v))
-            gaps = u.count("-") + v.count("-")
-            out[i] = {
-                "Global_score": int(whole.score[k]),
-                "Global_pct": 100.0 * same / len(u) if u else 0.0,
-                "Local_score": int(part.score[k]),
-                "Local_pct": 100.0 * len(p) / len(a[i]) if a[i] else 0.0,
-                "SNVs": int(len(u) - same - gaps == 1 and gaps == 0),
-                "Insertion_length": sum(r == "-" and s != "-" for r, s in zip(u, v)),
-                "global_ref": u, "global_alt": v, "local_ref": p, "local_alt": q,
-            }
-    return pd.DataFrame(out, columns=[c.split()[0] for c in DNA_SCHEMA.split(", ")])
+            out[i] = sum((written(f.steps[:, k], (int(f.end[0][k]), int(f.end[1][k])), a[i], b[i]) for f in (whole, part)), ())
+    return pd.DataFrame(out, columns=[c.split()[0] for c in DNA_TEXTS.split(", ")])
 
 
 def dna_alignment(a: str, b: str, match: int = DEFAULT.match, mismatch: int = DEFAULT.mismatch) -> dict:
-    return dna_rows([a], [b], match, mismatch).to_dict("records")[0]
+    """Features and alignments of one pair."""
+    return {k: v for f in (dna_rows, dna_texts) for k, v in f([a], [b], match, mismatch).to_dict("records")[0].items()}
+
+
+def long_texts(a: str, b: str, pair, gap: int) -> tuple[str, str, str, str]:
+    """dna_texts of one pair, whose ways are found by halving; the local one is the whole one between its ends."""
+    (x, nx), (y, ny) = padded([a]), padded([b])
+    part = summed(x, y, (nx, ny), pair, gap, True)
+    (i, j), (p, q) = ((int(s[0][0]), int(s[1][0])) for s in (part.start, part.end))
+    whole = written(way_of(x[0], y[0], pair, gap), (len(a), len(b)), a, b)
+    return whole + written(way_of(x[0, i:p], y[0, j:q], pair, gap), (p - i, q - j), a[i:p], b[j:q])
 
 
 def protein_rows(a: list[str], b: list[str], scores: Score, gap: int = DEFAULT.protein_gap) -> pd.DataFrame:
@@ -150,38 +293,43 @@ def protein_rows(a: list[str], b: list[str], scores: Score, gap: int = DEFAULT.p
         table[number[p], number[q]] = value
 
     def coded(x: np.ndarray) -> np.ndarray:
+        """A symbol's place in the table above its code point."""
         at = np.minimum(np.searchsorted(symbols, x), len(symbols) - 1)
-        return np.where(symbols[at] == x, at, len(symbols))
+        return x | np.where(symbols[at] == x, at, len(symbols)).astype(np.uint32) << CODE_BITS
+
+    scored = lambda x, y: table[(x >> CODE_BITS)[:, None], y >> CODE_BITS]
 
     out = np.zeros((3, len(a)))
-    for group in groups(a, b):
+    for group in row_groups(a, b):
         (x, nx), (y, ny) = padded([a[i] for i in group]), padded([b[i] for i in group])
         cx, cy = coded(x), coded(y)
-        pair = lambda p, q: table[p[:, None], q]
-        whole, part = (aligned(cx, cy, (nx, ny), pair, gap, local) for local in (False, True))
-        i, j, same = nx.copy(), ny.copy(), np.zeros(len(group))
-        for step in whole.steps:
-            i -= (step == UP) | (step == DIAGONAL)
-            j -= (step == LEFT) | (step == DIAGONAL)
-            on = np.flatnonzero(step == DIAGONAL)
-            same[on] += x[on, i[on]] == y[on, j[on]]
-        size = (whole.steps != STAY).sum(0)
-        out[:, group] = whole.score, 100.0 * same / np.maximum(size, 1), part.score
+        whole, part = (summed(cx, cy, (nx, ny), scored, gap, local) for local in (False, True))
+        out[:, group] = whole.score, 100.0 * whole.same / np.maximum(whole.size, 1), part.score
     made = pd.DataFrame(dict(zip(("AA_Global_score", "AA_Global_pct", "AA_Local_score"), out)))
     return made.astype({"AA_Global_score": "int32", "AA_Local_score": "int32"})
 
 
-def dna_alignments(ref: Column, alt: Column, config: Config = DEFAULT) -> Column:
-    """A struct of DNA_SCHEMA.  Nulls count as empty alleles."""
+def of_pairs(rows, schema: str, ref: Column, alt: Column) -> Column:
+    """A struct of what rows makes of pairs, each distinct pair of a batch once.  Nulls count as empty alleles."""
 
     def run(a: pd.Series, b: pd.Series) -> pd.DataFrame:
         pairs = list(zip(a.fillna(""), b.fillna("")))
         known = list(dict.fromkeys(pairs))  # alleles repeat
-        made = dna_rows([x for x, _ in known], [y for _, y in known], config.match, config.mismatch)
+        made = rows([x for x, _ in known], [y for _, y in known])
         place = {p: i for i, p in enumerate(known)}
         return made.iloc[[place[p] for p in pairs]].reset_index(drop=True)
 
-    return F.pandas_udf(run, DNA_SCHEMA)(ref, alt)
+    return F.pandas_udf(run, schema)(ref, alt)
+
+
+def dna_alignments(ref: Column, alt: Column, config: Config = DEFAULT) -> Column:
+    """A struct of DNA_NUMBERS.  Nulls count as empty alleles."""
+    return of_pairs(lambda a, b: dna_rows(a, b, config.match, config.mismatch), DNA_NUMBERS, ref, alt)
+
+
+def dna_alignment_texts(ref: Column, alt: Column, config: Config = DEFAULT) -> Column:
+    """A struct of DNA_TEXTS.  Nulls count as empty alleles."""
+    return of_pairs(lambda a, b: dna_texts(a, b, config.match, config.mismatch), DNA_TEXTS, ref, alt)
 
 
 def protein_alignments(ref: Column, alt: Column, scores: Score | None = None, gap: int = DEFAULT.protein_gap) -> Column:

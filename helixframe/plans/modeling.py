@@ -36,14 +36,19 @@ def aligned(v: DataFrame) -> DataFrame:
     return v.select("variant_id", align.dna_alignments(ref, alt).alias("a")).select("variant_id", "a.*")
 
 
+def with_texts(v: DataFrame) -> DataFrame:
+    both = v.select("variant_id", align.dna_alignments(ref, alt).alias("a"), align.dna_alignment_texts(ref, alt).alias("t"))
+    return both.select("variant_id", "a.*", "t.*")
+
+
 @on_variants("nw_dna", sql.NW_DNA)
 def _(v):
-    return aligned(v).select("variant_id", "Global_score", F.round("Global_pct", 6).alias("Global_pct"), "global_ref", "global_alt")
+    return with_texts(v).select("variant_id", "Global_score", F.round("Global_pct", 6).alias("Global_pct"), "global_ref", "global_alt")
 
 
 @on_variants("sw_dna", sql.SW_DNA)
 def _(v):
-    return aligned(v).select("variant_id", "Local_score", F.round("Local_pct", 6).alias("Local_pct"), "local_ref", "local_alt")
+    return with_texts(v).select("variant_id", "Local_score", F.round("Local_pct", 6).alias("Local_pct"), "local_ref", "local_alt")
 
 
 @on_variants("snv_flag", sql.SNV_FLAG)

@@ -1,4 +1,5 @@
 import random
+import tracemalloc
 from itertools import product
 
 import numpy as np
@@ -51,12 +52,18 @@ def test_alignments_as_cell_by_cell(pairs, cells):
     of = lambda p, q: scores.get((p, q), -8)
     with pytest.MonkeyPatch.context() as patch:
         patch.setattr(align, "CELLS", cells)
-        made = align.dna_rows([a for a, _ in pairs], [b for _, b in pairs]).to_dict("records")
+        sides = [a for a, _ in pairs], [b for _, b in pairs]
+        made = pd.concat([align.dna_rows(*sides), align.dna_texts(*sides)], axis=1).to_dict("records")
         protein = align.protein_rows([a for a, _ in pairs], [b for _, b in pairs], scores, -8).to_dict("records")
     assert len(made) == len(protein) == len(pairs)
     for (a, b), x, p in zip(pairs, made, protein):
         assert (x["Global_score"], x["global_ref"], x["global_alt"]) == plain_alignment(a, b, pair, -1, False)
         assert (x["Local_score"], x["local_ref"], x["local_alt"]) == plain_alignment(a, b, pair, -1, True)
+        columns = list(zip(x["global_ref"], x["global_alt"]))
+        assert x["Global_pct"] == pytest.approx(100 * sum(r == s for r, s in columns) / len(columns) if columns else 0)
+        assert x["Local_pct"] == pytest.approx(100 * len(x["local_ref"]) / len(a) if a else 0)
+        assert x["SNVs"] == (sum(r != s for r, s in columns) == 1 and ("-", "-") not in columns and all("-" not in c for c in columns))
+        assert x["Insertion_length"] == sum(r == "-" for r, _ in columns)
         score, u, v = plain_alignment(a, b, of, -8, False)
         assert p["AA_Global_score"] == score and p["AA_Local_score"] == max(map(max, plain_table(a, b, of, -8, True)))
         assert p["AA_Global_pct"] == pytest.approx(100 * sum(r == s for r, s in zip(u, v)) / len(u) if u else 0)
@@ -76,6 +83,22 @@ def test_alignment(a, b):
     assert best == x["Local_score"]
 
 
+def test_long_alignments_in_little_memory():
+    """A pair of 8,000 bases: the ways add up to the scores, and memory does not grow with rows times columns."""
+    rng = random.Random(3)
+    a = "".join(rng.choices("ACGT", k=8_000))
+    b = "".join(rng.choice("ACGT") if rng.random() < 0.1 else c for c in a if rng.random() > 0.02)
+    tracemalloc.start()
+    x = align.dna_alignment(a, b)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert most < 40 << 20
+    for whole, score, u, v in ((True, x["Global_score"], x["global_ref"], x["global_alt"]), (False, x["Local_score"], x["local_ref"], x["local_alt"])):
+        assert score == sum(1 if p == q else -1 for p, q in zip(u, v))
+        assert (u.replace("-", "") == a and v.replace("-", "") == b) if whole else (u.replace("-", "") in a and v.replace("-", "") in b)
+    assert x["Insertion_length"] == x["global_ref"].count("-")
+
+
 def test_alignment_of_known_gene():
     x = align.dna_alignment("GCTGCTGGACCTGCC", "G")
     assert (x["Global_score"], x["Local_score"], x["SNVs"], x["Insertion_length"]) == (-13, 1, 0, 0)
