@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import re
-from collections import Counter
 from itertools import combinations
 
 import numpy as np
@@ -112,14 +111,56 @@ def repeat_changes(whole_ref: Column, whole_alt: Column, ref: Column, alt: Colum
     return F.pandas_udf(run, ", ".join(f"{c} int" for c in REPEATS))(whole_ref, whole_alt, ref, alt)
 
 
+#: Cells of the table of substrings that are sorted together.
+SORTED = 1 << 20
+
+
+def entropies(sequences: list[str], config: Config = DEFAULT) -> np.ndarray:
+    """Entropy in bits of all substrings of k_min to k_max bases together, of each sequence; 0 without any.
+
+    Sequences of like lengths are a table of numbered substrings, a row for each; its rows are sorted, so that equal
+    substrings stand together.
+    """
+    out = np.zeros(len(sequences))
+    sizes = np.array([len(s) for s in sequences], dtype=np.int64)
+    order, at = np.argsort(-sizes, kind="stable"), 0
+    while at < len(order) and (width := sizes[order[at]]) >= config.k_min:
+        columns = int(sum(max(width - k + 1, 0) for k in range(config.k_min, config.k_max + 1)))
+        group = order[at : at + max(SORTED // columns, 1)]
+        out[group] = _entropies([sequences[i] for i in group], sizes[group], config)
+        at += len(group)
+    return out
+
+
+def _entropies(sequences: list[str], sizes: np.ndarray, config: Config) -> np.ndarray:
+    n, width = len(sequences), int(sizes.max())
+    text = np.zeros((n, width), dtype=np.int64)
+    inside = np.arange(width) < sizes[:, None]
+    letters, text[inside] = np.unique(np.frombuffer("".join(sequences).encode("utf-32-le", "surrogatepass"), dtype=np.uint32), return_inverse=True)
+    tables = []
+    for k in range(config.k_min, min(config.k_max, width) + 1):
+        code = np.zeros((n, width - k + 1), dtype=np.int64)
+        for j in range(k):
+            code = code * len(letters) + text[:, j : width - k + 1 + j]
+        tables.append(np.where(inside[:, k - 1 :], code * (config.k_max + 1) + k, -1))
+    table = np.concatenate(tables, axis=1)
+    table.sort(axis=1)
+    starts = np.ones(table.shape, dtype=bool)
+    starts[:, 1:] = table[:, 1:] != table[:, :-1]
+    begins = np.flatnonzero(starts)
+    counts, row = np.diff(np.append(begins, table.size)), begins // table.shape[1]
+    counts = np.where(table.ravel()[begins] >= 0, counts, 0)
+    total = np.bincount(row, counts, minlength=n)
+    own = np.bincount(row, counts * np.log2(np.maximum(counts, 1)), minlength=n)
+    return np.log2(np.maximum(total, 1)) - own / np.maximum(total, 1)
+
+
 def entropy(s: str, config: Config = DEFAULT) -> float:
-    """Entropy in bits of all substrings of k_min to k_max bases together; 0 without any."""
-    n = np.array(list(Counter(s[i : i + k] for k in range(config.k_min, config.k_max + 1) for i in range(len(s) - k + 1)).values()), dtype=float)
-    return float(-(n / n.sum() * np.log2(n / n.sum())).sum()) if len(n) else 0.0
+    return float(entropies([s], config)[0])
 
 
 def entropy_delta(ref: Column, alt: Column, config: Config = DEFAULT) -> Column:
     def run(a: pd.Series, b: pd.Series) -> pd.Series:
-        return pd.Series([entropy(y, config) - entropy(x, config) for x, y in zip(a.fillna(""), b.fillna(""))])
+        return pd.Series(entropies(b.fillna("").tolist(), config) - entropies(a.fillna("").tolist(), config))
 
     return F.pandas_udf(run, "double")(ref, alt)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..config import DEFAULT
 from ..functions import dna
-from ..operators import align, motifs, orf, repair, structure, viterbi
+from ..operators import align, incremental, motifs, orf, repair, structure, viterbi
 from ..scratch import cut
 from ..sources.variants import VARIANTS_SQL, from_orders, label
 from . import features, learning
@@ -127,7 +127,7 @@ def _(v):
 
 # ---- models ----
 
-MODEL_FEATURES = ["Global_score", "Local_score", "Length_change_context", "GC_context_delta", "Thermodynamic_stability", "Shannon_entropy", "SNVs", "Insertion_length", "Poly_tracts", "tr_base_composite"]
+MODEL_FEATURES = list(incremental.FEATURES)
 
 
 def quick_features(v: DataFrame) -> DataFrame:
@@ -237,13 +237,4 @@ def _(v):
 def _(v):
     """Repair of every pathogenic variant by a model of the alleles' features: copies at the end, and the alleles that reached the goal."""
     model = learning.train(labelled(v), MODEL_FEATURES, rounds=5)
-
-    def benign(df: DataFrame) -> DataFrame:
-        scored = learning.score(model, quick_features(df), MODEL_FEATURES)
-        return scored.withColumn("score", F.col("prob_benign")).drop(*MODEL_FEATURES, "prob_benign", "prob_pathogenic", "predicted")
-
-    start = v.where("clinical_significance = 'Pathogenic'").select("variant_id", "ref_allele", "alt_allele")
-    made = repair.repair(start, benign, DEFAULT, cut=cut)
-    copies = made.copies.select("variant_id", "alt_allele", "score", "retain", "iteration", F.lit(False).alias("reached"))
-    return copies.unionByName(made.reached.withColumn("reached", F.lit(True)), allowMissingColumns=True)
-
+    return incremental.repaired(v.where("clinical_significance = 'Pathogenic'"), incremental.compiled(model), DEFAULT)

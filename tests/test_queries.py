@@ -166,21 +166,3 @@ def test_whole_elimination_and_search(spark, monkeypatch):
     assert [r.features for r in steps] == list(range(len(modeling.MODEL_FEATURES) - 1, 0, -1))
     (found,) = modeling.QUERIES["variance_search"](spark, SF).collect()
     assert 0 <= found.threshold <= 0.3 and 0 < found.features <= len(modeling.MODEL_FEATURES)
-
-
-def test_whole_repair(spark, monkeypatch):
-    """Repair runs with the configuration's iterations and choices, and its reached alleles are returned."""
-    from helixframe.plans import modeling
-
-    asked = []
-
-    def repaired(start, benign, config, cut):
-        asked.append(config)
-        copies = start.withColumns({"score": F.lit(0.5), "retain": F.lit(0), "iteration": F.lit(1)})
-        return repair.Repaired(copies, start.select("variant_id", "alt_allele", F.lit(0.9).alias("score")))
-
-    monkeypatch.setattr(learning, "train", lambda *a, **b: None)
-    monkeypatch.setattr(repair, "repair", repaired)
-    got = modeling.QUERIES["repair_loop"](spark, SF)
-    assert (asked[0].iterations, asked[0].random_choices) == (50, 40)
-    assert got.where("reached").count() == got.where("not reached").count() > 0
