@@ -56,6 +56,17 @@ def block(key: Column, i: int) -> Column:
     return F.translate(F.md5(F.concat(key.cast("string"), F.lit(f":{i}"))), "0123456789abcdef", "ACGTACGTACGTACGT")
 
 
+#: Blocks of a flank, and of the long flanks that one variant of LONG_EVERY has, so that windows of up to 500 bases end within them.
+BLOCKS, LONG_BLOCKS, LONG_EVERY, LONG_FROM = 4, 16, 8, 10
+
+
+def flank(key: Column, first: int) -> Column:
+    """The bases of a flank; the further blocks of long ones have numbers of their own."""
+    more = range(LONG_FROM + 3 * first, LONG_FROM + 3 * first + LONG_BLOCKS - BLOCKS)
+    short = [block(key, i) for i in range(first, first + BLOCKS)]
+    return F.concat(*short, F.when(key % LONG_EVERY == 3, F.concat(*[block(key, i) for i in more])).otherwise(""))
+
+
 def spread(df: DataFrame) -> DataFrame:
     """df over all cores if it has fewer partitions: a variant's features cost far more than moving its few bytes."""
     cores = df.sparkSession.sparkContext.defaultParallelism
@@ -87,8 +98,8 @@ def from_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
             (1 + k % 24).cast("int").alias("chromosome"),
             "ref_allele",
             "alt_allele",
-            F.concat(*[block(k, i) for i in range(4)]).alias("flank_1"),
-            F.concat(*[block(k, i) for i in range(4, 8)]).alias("flank_2"),
+            flank(k, 0).alias("flank_1"),
+            flank(k, 4).alias("flank_2"),
             F.when(F.col("o_orderstatus") == "F", "Benign").when(F.col("o_orderstatus") == "O", "Pathogenic").otherwise("Uncertain").alias("clinical_significance"),
         )
     )
@@ -98,6 +109,12 @@ def _sql_block(i: int) -> str:
     return f"translate(md5(concat(o_orderkey::varchar, ':{i}')), '0123456789abcdef', 'ACGTACGTACGTACGT')"
 
 
+def _sql_flank(first: int) -> str:
+    more = range(LONG_FROM + 3 * first, LONG_FROM + 3 * first + LONG_BLOCKS - BLOCKS)
+    short = " || ".join(_sql_block(i) for i in range(first, first + BLOCKS))
+    return f"{short} || CASE WHEN o_orderkey % {LONG_EVERY} = 3 THEN {' || '.join(_sql_block(i) for i in more)} ELSE '' END"
+
+
 #: The same variants in DuckDB, as the CTE `v` that oracles start with.
 VARIANTS_SQL = f"""WITH v0 AS (
   SELECT o_orderkey, o_orderstatus, CASE WHEN o_orderkey % 5 = 0 THEN repeat('CA', (5 + o_orderkey % 3)::INT)
@@ -109,7 +126,7 @@ v AS (
       WHEN o_orderkey % 5 = 1 THEN translate(substr(ref_allele, 1, 1), 'ACGT', 'CGTA') || substr(ref_allele, 2)
       WHEN o_orderkey % 5 = 3 THEN ref_allele || 'AAAAAAA'
       ELSE substr({_sql_block(9)}, 1, (1 + o_orderkey % 9)::INT) END AS alt_allele,
-    {" || ".join(_sql_block(i) for i in range(4))} AS flank_1, {" || ".join(_sql_block(i) for i in range(4, 8))} AS flank_2,
+    {_sql_flank(0)} AS flank_1, {_sql_flank(4)} AS flank_2,
     CASE o_orderstatus WHEN 'F' THEN 'Benign' WHEN 'O' THEN 'Pathogenic' ELSE 'Uncertain' END AS clinical_significance
   FROM v0)
 """
