@@ -144,9 +144,19 @@ def gaussian(place: np.ndarray, start: np.ndarray, end: np.ndarray, sigma: float
     return np.exp(-(far**2) / (2 * sigma**2))
 
 
-TOTALS = {"init": ("init_motif_count", "init_score_shift", "init_cluster_shift", "init_domain_cluster_shift"),
-          "TF": ("TF_motif_count", "TF_score_shift", "TF_cluster_shift", "TF_domain_cluster_shift"),
-          "PTR": ("PTR_motif_count", "PTR_score_shift", "PTR_cluster_shift", "PTR_domain_cluster_shift")}
+def domain_names(domain: str) -> tuple[str, str, str, str]:
+    return (f"{domain}_motif_count", f"{domain}_score_shift", f"{domain}_cluster_shift", f"{domain}_domain_cluster_shift")
+
+
+def by_domain(motifs: list[Motif]) -> dict[str, list[int]]:
+    """Places of the motifs of each domain, domains in the order of their first motif."""
+    out: dict[str, list[int]] = {}
+    for i, m in enumerate(motifs):
+        out.setdefault(m.domain, []).append(i)
+    return out
+
+
+TOTALS = {d: domain_names(d) for d in by_domain(DNA_MOTIFS)}
 ALL = ("TOTAL_DNA_MOTIF_COUNT", "TOTAL_DNA_MOTIF_SCORE", "TOTAL_DNA_MOTIF_CLUSTER", "TOTAL_DNA_MOTIF_DOMAIN_CLUSTER")
 
 
@@ -170,16 +180,14 @@ def dna_profile(ref: pd.Series, alt: pd.Series, flank_1: pd.Series, flank_2: pd.
         sides.append(side)
     out: dict[str, np.ndarray] = {}
     totals = np.zeros((4, n))
-    for domain, names in TOTALS.items():
-        mine = [i for i, m in enumerate(motifs) if m.domain == domain]
+    for domain, mine in by_domain(motifs).items():
         sums = np.zeros((4, n))
         for i in mine:
             shift = [sides[1][i][k] - sides[0][i][k] for k in range(3)]
             out |= {f"{motifs[i].name}_{what}": x for what, x in zip(("count", "score", "cluster"), shift)}
             sums[:3] += shift
-        if mine:
-            sums[3] = np.subtract(*(in_motif_order([side[i][3] for i in mine], n, config.dna_cluster) for side in sides[::-1]))
-        out |= dict(zip(names, sums))
+        sums[3] = np.subtract(*(in_motif_order([side[i][3] for i in mine], n, config.dna_cluster) for side in sides[::-1]))
+        out |= dict(zip(domain_names(domain), sums))
         totals += sums
     return pd.DataFrame(out | dict(zip(ALL, totals))).astype(float)
 
@@ -262,9 +270,9 @@ def protein_profile(ref: pd.Series, alt: pd.Series, motifs: list[Motif], config:
 
 def dna_names(motifs: list[Motif]) -> list[str]:
     out = []
-    for domain, names in TOTALS.items():
-        out += [f"{m.name}_{w}" for m in motifs if m.domain == domain for w in ("count", "score", "cluster")]
-        out += names
+    for domain, mine in by_domain(motifs).items():
+        out += [f"{motifs[i].name}_{w}" for i in mine for w in ("count", "score", "cluster")]
+        out += domain_names(domain)
     return [*out, *ALL]
 
 

@@ -61,21 +61,6 @@ def _(v):
     return aligned(v).select("variant_id", "Insertion_length")
 
 
-def protein_aligned(v: DataFrame) -> DataFrame:
-    p = features.with_proteins(v)
-    return p.select("variant_id", align.protein_alignments(F.col("ref_orf.protein"), F.col("alt_orf.protein")).alias("a")).select("variant_id", "a.*")
-
-
-@on_variants("nw_protein")
-def _(v):
-    return protein_aligned(v).select("variant_id", "AA_Global_score", "AA_Global_pct")
-
-
-@on_variants("sw_protein")
-def _(v):
-    return protein_aligned(v).select("variant_id", "AA_Local_score")
-
-
 @on_variants("hairpin_delta", sql.HAIRPINS)
 def _(v):
     return v.select("variant_id", structure.hairpin_delta(dna.buffered(ref, left, right), dna.buffered(alt, left, right)).alias("hairpins"))

@@ -24,6 +24,35 @@ def read_pwms(spark: SparkSession, folder: str, order: str = DNA_ORDER) -> DataF
     return parse_pwm(raw.select("motif", F.posexplode(lines).alias("pos", "line")), order)
 
 
+#: Rows of a table of matrices, which goes to every task.
+MOST_CELLS = 200_000
+
+
+def read_motifs(spark: SparkSession, folder: str, order: str = DNA_ORDER) -> list[Motif]:
+    """Motifs of a folder of matrix files, one folder `domain=<name>` for each domain; by domain, then name.
+
+    A motif is named by its file, or by a folder `name=<name>` around it.
+    """
+    raw = spark.read.text(folder, wholetext=True)
+    file = F.regexp_extract(F.input_file_name(), r"([^/]+?)(?:\.\w+)?$", 1)
+    raw = raw.withColumn("motif", F.col("name").cast("string") if "name" in raw.columns else file)
+    lines = F.filter(F.split("value", r"\r?\n"), lambda x: F.trim(x) != "")
+    found = raw.select(F.col("domain").cast("string").alias("domain"), "motif", F.posexplode(lines).alias("pos", "line"))
+    return as_motifs(parse_pwm(found.select(F.concat_ws("/", "domain", "motif").alias("motif"), "pos", "line"), order), order)
+
+
+def as_motifs(table: DataFrame, order: str = DNA_ORDER) -> list[Motif]:
+    """Motifs of (motif, pos, symbol, p) whose motifs are `domain/name`; more rows than MOST_CELLS are an error."""
+    rows = table.limit(MOST_CELLS + 1).collect()
+    if len(rows) > MOST_CELLS:
+        raise ValueError(f"more than {MOST_CELLS} cells of matrices")
+    cells: dict[str, dict[int, dict[str, float]]] = {}
+    for r in rows:
+        cells.setdefault(r["motif"], {}).setdefault(r["pos"], {})[r["symbol"]] = r["p"]
+    names = sorted(cells, key=lambda m: m.split("/", 1))
+    return [Motif(m.split("/", 1)[1], m.split("/", 1)[0], tuple(tuple(cells[m][i][a] for a in order) for i in sorted(cells[m])), order) for m in names]
+
+
 def motifs(table: DataFrame, domains: dict[str, str], order: str = DNA_ORDER) -> list[Motif]:
     """Motifs of a matrix table for the operators; domains: of each motif's name.  A matrix is a few dozen rows."""
     found: dict[str, dict[int, dict[str, float]]] = {}
