@@ -56,9 +56,9 @@ DOMAIN_OF = {1: "init", 2: "init", 3: "TF", 4: "TF", 5: "PTR"}
 
 
 def part_matrices(spark, sf_dir: str) -> DataFrame:
-    """(domain, name, text): a matrix for each of five groups of brands, from how its parts' keys are spread over remainders."""
+    """(domain, name, text): a matrix for each of five groups of parts, from how its parts' keys are spread over remainders."""
     n = [F.count_if(F.col("p_partkey") % 4 == i) / F.count("*") for i in range(4)]
-    maker = (F.regexp_extract("p_brand", "[0-9]", 0).cast("int") % 5 + 1).alias("maker")
+    maker = (F.floor(F.col("p_partkey") / 4) % 5 + 1).cast("int").alias("maker")
     lines = spark.read.parquet(f"{sf_dir}/part.parquet").groupBy(maker, (F.col("p_size") % PLACES).alias("pos")).agg(F.concat_ws("  ", *[x.cast("string") for x in n]).alias("line"))
     ordered = F.array_sort(F.collect_list(F.struct("pos", "line")))  # PLACES lines
     text = F.concat_ws("\n", F.transform(ordered, lambda x: x["line"]))
@@ -89,7 +89,7 @@ _columns |= {c: _value(w, "true") for c, w in zip(motifs.ALL, ("count", "score",
 _columns[motifs.ALL[3]] = " + ".join(f"max(w_{d}) FILTER (side = 'a') - max(w_{d}) FILTER (side = 'r')" for d in _of_domain)
 MATRIX_SQL = (
     sides(_window)
-    + f""", cells AS (SELECT 'm' || (regexp_extract(p_brand, '[0-9]')::INT % 5 + 1) AS motif, p_size % {PLACES} AS pos, {", ".join(f"count(*) FILTER (p_partkey % 4 = {i}) / count(*) AS p{i + 1}" for i in range(4))} FROM part GROUP BY ALL),
+    + f""", cells AS (SELECT 'm' || (p_partkey // 4 % 5 + 1) AS motif, p_size % {PLACES} AS pos, {", ".join(f"count(*) FILTER (p_partkey % 4 = {i}) / count(*) AS p{i + 1}" for i in range(4))} FROM part GROUP BY ALL),
 mats AS MATERIALIZED (SELECT motif, domain, list([{_odds}] ORDER BY pos) AS odds, sum(least({", ".join(_clip)})) AS low, sum(greatest({", ".join(_clip)})) AS high
   FROM cells JOIN (VALUES {_all}) AS d(motif, domain) USING (motif) GROUP BY ALL),
 coded AS MATERIALIZED (SELECT variant_id, side, size, lead, list_transform(range(1, length(s) + 1), lambda q: instr('{SYMBOLS}', substr(s, q, 1))) AS codes FROM w),
