@@ -8,8 +8,10 @@ from pyspark.sql import functions as F
 from ..functions import dna, motif, paths, protein
 from ..functions.constants import CODONS, GENE_DENSITY, HELIX, INTRON, NUCLEAR_EXPORT, NUCLEAR_LOCALIZATION, POLY_TRACTS, PROPERTIES, RESIDUES, SHEET, START, STOP, SUBGROUPS, TURN, stacking_energies
 from ..operators.motifs import DNA_MOTIFS, DNA_THRESHOLD, PROTEIN_MOTIFS, PROTEIN_THRESHOLD
+from ..operators.viterbi import viterbi
 from ..sources import fasta, matrices
-from ..sources.variants import CLINICAL_COLUMNS, VARIANTS_SQL, block, chromosome_number, clinical_filter, drop_literal_na, from_orders, label
+from ..sources.variants import CLINICAL_COLUMNS, VARIANTS_SQL, chromosome_number, clinical_filter, drop_literal_na, from_orders, label
+from .sequence_sql import decoded
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -458,48 +460,63 @@ def domain_query(domain: str):
 query("aa_pwm_stats", domain_sql("glyc"))(domain_query("glyc"))
 query("sh2_profile", domain_sql("SH2"))(domain_query("SH2"))
 
-# ---- state paths: statistics over a path that hangs on the variant ----
+# ---- state paths: statistics over the decoded paths of both alleles ----
+
+#: Bases of either flank that are decoded with an allele.
+PATH_FLANK = 40
+_path_window = lambda s: f"right(flank_1, {PATH_FLANK}) || {s} || left(flank_2, {PATH_FLANK})"
+PATH_SQL = (
+    decoded(f"SELECT variant_id * 2 AS key, {_path_window(ref)} AS s FROM v UNION ALL SELECT variant_id * 2 + 1, {_path_window(alt)} FROM v")
+    + ", q AS (SELECT v.*, r.path AS r, a.path AS a FROM v JOIN decoded AS r ON r.key = variant_id * 2 JOIN decoded AS a ON a.key = variant_id * 2 + 1)\n"
+)
+
+
+def decoded_paths(v: DataFrame) -> DataFrame:
+    around = lambda s: F.concat(F.right(c(left), F.lit(PATH_FLANK)), c(s), F.left(c(right), F.lit(PATH_FLANK)))
+    return v.withColumns({"r": viterbi(around(ref))["path"], "a": viterbi(around(alt))["path"]})
 
-path_sql = lambda s: f"translate(md5(variant_id || ':{s}') || md5(variant_id || '{s}!'), '0123456789abcdef', '0123450123450123')"
-PATH_SQL = f"WITH q AS (SELECT variant_id, {path_sql('r')} AS r, left({path_sql('a')}, 40 + (variant_id % 20)::INT) AS a FROM v)\n"
 
+def path_query(name: str, sql: str):
+    """Like query(), for SQL over the CTE q of decoded paths."""
 
-def pseudo_paths(v: DataFrame) -> DataFrame:
-    key = c("variant_id").cast("string")
-    path = lambda s: F.translate(F.concat(F.md5(F.concat(key, F.lit(f":{s}"))), F.md5(F.concat(key, F.lit(f"{s}!")))), "0123456789abcdef", "0123450123450123")
-    return v.select("variant_id", path("r").alias("r"), F.left(path("a"), (40 + c("variant_id") % 20).cast("int")).alias("a"))
+    def register(f):
+        QUERIES[name] = lambda spark, sf_dir: f(from_orders(spark, sf_dir))
+        ORACLES[name] = VARIANTS_SQL.replace("WITH ", "WITH RECURSIVE ", 1) + PATH_SQL + sql
+        return f
+
+    return register
 
 
 count_sql = lambda p, x: f"(length({p}) - length(translate({p}, '{x}', '')))"
 
 
-@query("state_composition_delta", PATH_SQL + "SELECT variant_id, " + ", ".join(f"round({count_sql('r', x)} / length(r) - {count_sql('a', x)} / length(a), 6) AS s_{s.lower()}" for s, x in paths.LETTER.items()) + " FROM q")
+@path_query("state_composition_delta", "SELECT variant_id, " + ", ".join(f"round({count_sql('r', x)} / length(r) - {count_sql('a', x)} / length(a), 6) AS s_{s.lower()}" for s, x in paths.LETTER.items()) + " FROM q")
 def _(v):
-    return pseudo_paths(v).select("variant_id", *[r6(x).alias(f"s_{s.lower()}") for s, x in paths.composition_deltas(c("r"), c("a")).items()])
+    return decoded_paths(v).select("variant_id", *[r6(x).alias(f"s_{s.lower()}") for s, x in paths.composition_deltas(c("r"), c("a")).items()])
 
 
 moved_sql = lambda p, x, y: f"((length({p}) - length(replace({p}, '{x}{y}', ''))) // 2)"
 
 
-@query("transition_delta", PATH_SQL + "SELECT variant_id, " + ", ".join(f"({moved_sql('r', x, y)} - {moved_sql('a', x, y)})::INT AS t_{s.lower()}_{t.lower()}" for s, x in paths.LETTER.items() for t, y in paths.LETTER.items() if s != t) + " FROM q")
+@path_query("transition_delta", "SELECT variant_id, " + ", ".join(f"({moved_sql('r', x, y)} - {moved_sql('a', x, y)})::INT AS t_{s.lower()}_{t.lower()}" for s, x in paths.LETTER.items() for t, y in paths.LETTER.items() if s != t) + " FROM q")
 def _(v):
     made = paths.transition_deltas(c("r"), c("a"))
-    return pseudo_paths(v).select("variant_id", *[x.alias("t_" + k.lower().replace("_to_", "_")) for k, x in made.items()])
+    return decoded_paths(v).select("variant_id", *[x.alias("t_" + k.lower().replace("_to_", "_")) for k, x in made.items()])
 
 
-@query("subgroup_stats", PATH_SQL + "SELECT variant_id, " + ", ".join(
+@path_query("subgroup_stats", "SELECT variant_id, " + ", ".join(
     f"{count_sql('r', x)} AS {g}_rawc, round(log2(({count_sql('r', x)} + 1) / length(r)), 6) AS {g}_log2, round({count_sql('r', x)} / length(r), 6) AS {g}_pctg" for g, x in paths.groups().items() if g in SUBGROUPS) + " FROM q")
 def _(v):
     names = {g: x for g, x in paths.groups().items() if g in SUBGROUPS}
     made = paths.statistics(c("r"), names)
-    return pseudo_paths(v).select("variant_id", *[(x.cast("long") if k.endswith("rawc") else r6(x)).alias(k) for k, x in made.items()])
+    return decoded_paths(v).select("variant_id", *[(x.cast("long") if k.endswith("rawc") else r6(x)).alias(k) for k, x in made.items()])
 
 
-_far = "greatest(20 - (i - 1), (i - 1) - (20 + n), 0)"
+_far = f"greatest({PATH_FLANK} - (i - 1), (i - 1) - ({PATH_FLANK} + n), 0)"
 
 
-@query("boundary_gaussian", PATH_SQL + f""", b AS (SELECT variant_id, r, (1 + variant_id % 12) AS n FROM q)
+@path_query("boundary_gaussian", f""", b AS (SELECT variant_id, r, length(ref_allele) AS n FROM q)
 SELECT variant_id, round(coalesce(list_sum(list_transform(list_filter(range(1, length(r)), lambda i: substr(r, i::INT, 1) <> substr(r, (i + 1)::INT, 1)), lambda i: exp(-{_far} * {_far} / (2.0 * n * n)))), 0), 6) AS closeness FROM b""")
 def _(v):
-    b = pseudo_paths(v).withColumn("n", (1 + c("variant_id") % 12).cast("int"))
-    return b.select("variant_id", r6(paths.gaussian_boundaries(c("r"), F.lit(20), c("n"))).alias("closeness"))
+    b = decoded_paths(v).withColumn("n", F.length(ref))
+    return b.select("variant_id", r6(paths.gaussian_boundaries(c("r"), F.lit(PATH_FLANK), c("n"))).alias("closeness"))

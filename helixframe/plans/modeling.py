@@ -78,7 +78,7 @@ def _(v):
     return p.select("variant_id", F.col("ref_orf.start").alias("start"), F.col("ref_orf.end").alias("end"), F.col("ref_orf.score").alias("score"), F.col("ref_orf.reverse").alias("reverse"), F.col("ref_orf.protein").alias("protein"))
 
 
-@on_variants("viterbi_path")
+@on_variants("viterbi_path", sql.VITERBI)
 def _(v):
     return v.select("variant_id", viterbi.viterbi(F.concat(left, ref, right)).alias("p")).select("variant_id", "p.path", F.round("p.log_probability", 6).alias("log_probability"))
 

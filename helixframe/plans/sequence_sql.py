@@ -6,9 +6,12 @@ frames and repeats are found by regular expressions, hairpins by the last place
 
 from __future__ import annotations
 
+import numpy as np
+
 from ..config import DEFAULT
-from ..functions.constants import CODONS, IUPAC, NUCLEAR_EXPORT, NUCLEAR_LOCALIZATION, RESIDUES, START_SCORES, SYMBOLS
+from ..functions.constants import CODONS, IUPAC, NUCLEAR_EXPORT, NUCLEAR_LOCALIZATION, RESIDUES, START_SCORES, STATES, SYMBOLS
 from ..operators import motifs
+from ..operators.viterbi import _tables
 
 # ---- alignment: a table's next row from its last one, then a walk back ----
 
@@ -111,6 +114,35 @@ proteins AS MATERIALIZED (SELECT *, regexp_extract(ltrim(array_to_string(list_tr
 )
 BEST_ORF = FRAMES + """SELECT variant_id, a::INT AS start, e::INT AS "end", score::DOUBLE AS score, turned AS "reverse", protein FROM proteins WHERE side = 'r'"""
 
+# ---- domains: scores step by step, the ways back in text, folded from the end ----
+
+
+def decoded(sequences: str) -> str:
+    """CTEs after a query of (key, s): decoded (key, path, log_probability), paths of one digit a base."""
+    start, emit, move = _tables()
+    number = lambda x: f"{float(x)!r}::DOUBLE"
+    k = range(len(STATES))
+    emits = "[" + ", ".join("[" + ", ".join(number(x) for x in row) + "]" for row in emit) + "]"
+    from_ = lambda j: [f"s{i} + {number(move[i, j])}" for i in k if np.isfinite(move[i, j])]
+    first = lambda values, names: "CASE " + " ".join(f"WHEN {v} >= greatest({', '.join(values)}) THEN '{i}'" for v, i in zip(values, names)) + " END"
+    backs = " || ".join(first(from_(j), [i for i in k if np.isfinite(move[i, j])]) for j in k)
+    symbol = lambda t: f"({emits})[coalesce(nullif(instr('{SYMBOLS}', substr(s, {t}, 1)), 0), {SYMBOLS.index('N') + 1})]"
+    columns = ", ".join(f"s{j}" for j in k)
+    ends = [f"s{j}" for j in k]
+    return f""", seqs AS MATERIALIZED ({sequences}),
+steps(key, s, n, t, back, {columns}) AS (
+  SELECT key, s, length(s), 1::BIGINT, '', {", ".join(f"{number(start[j])} + e[{j + 1}]" for j in k)} FROM (SELECT *, {symbol("1")} AS e FROM seqs WHERE s <> '')
+  UNION ALL
+  SELECT key, s, n, t + 1, {backs}, {", ".join(f"greatest({', '.join(from_(j))}) + e[{j + 1}]" for j in k)} FROM (SELECT *, {symbol("t + 1")} AS e FROM steps WHERE t < n)),
+ended AS (SELECT key, {first(ends, k)} AS last, greatest({", ".join(ends)}) AS log_probability FROM steps WHERE t = n),
+ways AS (SELECT key, list(back ORDER BY t DESC) AS backs FROM steps WHERE t > 1 GROUP BY key),
+decoded AS MATERIALIZED (SELECT key, list_reduce(list_prepend(last, coalesce(backs, [])), lambda path, b: substr(b, left(path, 1)::INT + 1, 1) || path) AS path, log_probability
+  FROM ended LEFT JOIN ways USING (key))
+"""
+
+
+VITERBI = decoded("SELECT variant_id AS key, flank_1 || ref_allele || flank_2 AS s FROM v") + "SELECT key AS variant_id, path, round(log_probability, 6) AS log_probability FROM decoded"
+
 # ---- motif profiles ----
 
 
