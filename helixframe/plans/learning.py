@@ -24,13 +24,14 @@ def classify(df: DataFrame, probability: str, threshold: float = DEFAULT.thresho
 # ---- splits ----
 
 
-def shuffled_place(df: DataFrame, key: str, label: str, seed: int) -> DataFrame:
+def shuffled_place(df: DataFrame, key: str, label: str, seed: int, digits: int = 3) -> DataFrame:
     """df with each row's place, from 1, in a seeded order of its label's rows, `_place`, and their number, `_n`.
 
-    Places are counted in two steps, within ranges of the order and over ranges, so no label is one task's.
+    Places are counted in two steps, within ranges of the order and over ranges, so no label is one task's.  digits: hex
+    digits of the order that tell ranges apart, so 4,096 ranges of each label if not given.
     """
     order = F.md5(F.concat(F.col(key).cast("string"), F.lit(f":{seed}")))
-    ranged = df.withColumn("_order", order).withColumn("_range", F.substring("_order", 1, 2))
+    ranged = df.withColumn("_order", order).withColumn("_range", F.substring("_order", 1, digits))
     sizes = ranged.groupBy(label, "_range").agg(F.count("*").alias("_k"))
     over = Window.partitionBy(label)
     before = F.sum("_k").over(over.orderBy("_range")) - F.col("_k")
@@ -52,14 +53,23 @@ def folds(df: DataFrame, key: str, label: str, k: int = 5, seed: int = 7) -> Dat
 # ---- metrics, exact, from counts by score ----
 
 
+#: Ranges of scores that are summed apart: each has about as many distinct scores, however they are spread.
+RANGES = 256
+
+
 def by_score(df: DataFrame, score: str, label: str) -> DataFrame:
     """(score, pos, neg, tp, fp): labels at a score, and at it or above; a row for each distinct score.
 
-    Scores are counted first; sums over them run in ranges, then over ranges.
+    NaN ranks above all numbers, as Spark sorts it, and null below them; -0.0 is 0.0.  Rows with a null label are left out.
+    Scores are counted first.  Sums over them run in ranges, then over ranges; a range is what lies between two
+    quantiles of the distinct scores, so crowded or far scores do not come to one task.
     """
-    counts = df.groupBy(F.col(score).cast("double").alias("score")).agg(F.sum(F.col(label).cast("long")).alias("pos"), F.sum(1 - F.col(label).cast("long")).alias("neg"))
-    # ranges of scores: by their leading digits, so that no task sums all scores
-    ranged = counts.withColumn("_range", F.floor(F.col("score") * 256))
+    known = df.where(F.col(label).isNotNull())
+    counts = known.groupBy((F.col(score).cast("double") + 0.0).alias("score")).agg(F.sum(F.col(label).cast("long")).alias("pos"), F.sum(1 - F.col(label).cast("long")).alias("neg"))
+    number = F.when(~F.isnan("score"), F.col("score"))
+    bounds = counts.agg(F.percentile_approx(number, F.array(*[F.lit(i / RANGES) for i in range(1, RANGES)]), F.lit(50 * RANGES)).alias("_bounds"))
+    place = F.when(F.col("score").isNull(), -1).when(F.isnan("score"), RANGES + 1).otherwise(F.size(F.filter("_bounds", lambda b: b <= F.col("score"))))
+    ranged = counts.crossJoin(F.broadcast(bounds)).withColumn("_range", place).drop("_bounds")  # bounds are one row
     sums = ranged.groupBy("_range").agg(F.sum("pos").alias("p"), F.sum("neg").alias("n"))
     over = Window.orderBy(F.desc("_range")).rowsBetween(Window.unboundedPreceding, -1)
     before = sums.select("_range", F.coalesce(F.sum("p").over(over), F.lit(0)).alias("_p"), F.coalesce(F.sum("n").over(over), F.lit(0)).alias("_n"))
