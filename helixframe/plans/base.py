@@ -130,14 +130,19 @@ spans AS (SELECT *, greatest(1, position - 50) AS s1, greatest(greatest(1, posit
 SELECT variant_id, position, substr(sequence, s1, e1 - s1 + 1) AS flank_1, substr(sequence, s2, e2 - s2 + 1) AS flank_2, substr(sequence, position, n) = ref_allele AS ref_matches FROM spans"""
 
 
-@query("flank_extract", GENOME_SQL)
-def _(v):
-    """Context from a genome of one accession for each 64 keys, cut in chunks."""
+def placed_variants(v: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """((accession, sequence), variants with an accession and a position): an accession for each 64 keys."""
     own = F.floor(c("variant_id") / 64).cast("string").alias("accession")
     pieces = F.array_sort(F.collect_list(F.struct("variant_id", left)))  # 64 at most
     genome = v.groupBy(own).agg(F.array_join(F.transform(pieces, lambda x: x[left]), "").alias("sequence"))
     sizes = genome.select("accession", F.length("sequence").alias("size"))
-    at = v.select("variant_id", own, ref).join(sizes, "accession").select("variant_id", "accession", (1 + c("variant_id") * 7919 % c("size")).alias("position"), ref)
+    return genome, v.select("variant_id", own, ref).join(sizes, "accession").select("variant_id", "accession", (1 + c("variant_id") * 7919 % c("size")).alias("position"), ref)
+
+
+@query("flank_extract", GENOME_SQL)
+def _(v):
+    """Context from a genome of one accession for each 64 keys, cut in chunks."""
+    genome, at = placed_variants(v)
     return fasta.with_context(at, fasta.chunks(genome, 1000), 50, 1000).select("variant_id", "position", left, right, "ref_matches")
 
 

@@ -9,10 +9,10 @@ from ..config import DEFAULT
 from ..functions.constants import IUPAC, RESIDUES, SYMBOLS
 from ..operators import align, motifs
 from ..scratch import new_path
-from ..sources import matrices, variant_fasta
+from ..sources import genome, matrices, variant_fasta
 from ..sources.variants import VARIANTS_SQL, from_orders
 from . import features
-from .base import FASTA_SQL
+from .base import FASTA_SQL, GENOME_SQL, placed_variants
 from .sequence_sql import FRAMES, cluster_sum, hit_list, sides
 
 QUERIES: dict = {}
@@ -49,6 +49,20 @@ def _(v: DataFrame) -> DataFrame:
     return variant_fasta.read_variants(v.sparkSession, path, SPLIT)
 
 
+@on_variants("indexed_context", "")
+def _(v: DataFrame) -> DataFrame:
+    """Context from genome files by their index, of which only the bytes around variants are read."""
+    path = new_path(v.sparkSession, "genome")
+    sequences, at = placed_variants(v)
+    lines = F.rtrim(F.regexp_replace("sequence", "(.{60})", "$1\n"))
+    sequences.select(F.concat(F.lit(">"), "accession", F.lit(" a sequence\n"), lines)).write.text(path)
+    index = genome.genome_index(v.sparkSession, path, SPLIT)
+    return genome.with_context(at, index, path, 50).select("variant_id", "position", "flank_1", "flank_2", "ref_matches")
+
+
+ORACLES["indexed_context"] = VARIANTS_SQL + ", " + GENOME_SQL[5:]
+
+
 # ---- motifs of matrix files ----
 
 PLACES = 5
