@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from .plans import base, files, learning, modeling
+from .plans import base, files, learning, modeling, sqlqueries
 
 FLAGSHIP = "fingerprint_all"
-QUERIES: dict = {**base.QUERIES, **learning.QUERIES, **modeling.QUERIES, **files.QUERIES}
-ORACLES: dict[str, str] = {**base.ORACLES, **learning.ORACLES, **modeling.ORACLES, **files.ORACLES}
+QUERIES: dict = {**base.QUERIES, **learning.QUERIES, **modeling.QUERIES, **files.QUERIES, **sqlqueries.QUERIES}
+ORACLES: dict[str, str] = {**base.ORACLES, **learning.ORACLES, **modeling.ORACLES, **files.ORACLES, **sqlqueries.ORACLES}
