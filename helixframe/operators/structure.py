@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import re
 from itertools import combinations
 
 import numpy as np
@@ -52,13 +51,41 @@ def _hairpins(sequences: list[str]) -> np.ndarray:
     return np.bincount(of[found], minlength=n)
 
 
-def tandem_runs(whole: str, window: str, config: Config = DEFAULT) -> dict[str, int]:
-    """Bases in runs of each repeated unit: units frequent in the whole sequence, runs within the window."""
-    least, out = config.min_repeats, {}
+def stretches(text: np.ndarray, k: int, least: int) -> list[tuple[int, int]]:
+    """Maximal stretches [start, end) in which symbols k apart are equal, of at least so many symbols, in order."""
+    same = np.zeros(max(len(text) - k, 0) + 2, dtype=np.int8)
+    same[1:-1] = text[: len(text) - k] == text[k:] if len(text) > k else same[1:-1]
+    steps = np.diff(same)
+    starts, ends = np.flatnonzero(steps == 1), np.flatnonzero(steps == -1) + k
+    long = ends - starts >= least
+    return list(zip(starts[long].tolist(), ends[long].tolist()))
+
+
+def tandem_runs(windows: list[str], config: Config = DEFAULT) -> list[dict[str, int]]:
+    """Bases in runs of each unit that a window repeats min_repeats times, leftmost runs first.
+
+    All runs of a unit of k bases lie in maximal stretches of period k, found for all windows at once; a stretch holds a
+    run of each of its rotations.  A unit that repeats so often in a window does so in the sequence around it, too.
+    """
+    least, out = config.min_repeats, [{} for _ in windows]
+    texts = [np.frombuffer(w.encode("utf-32-le", "surrogatepass"), dtype=np.uint32) for w in windows]
+    sizes = np.array([len(t) for t in texts], dtype=np.int64)
+    starts = np.cumsum(sizes + 1) - sizes - 1
+    whole = np.concatenate([np.append(t, 0x110000 + i) for i, t in enumerate(texts)] or [np.zeros(0, np.uint32)]).astype(np.uint32)  # a mark that repeats nothing
     for k in range(config.k_min, config.k_max):
-        for unit in {m[1] for m in re.finditer(f"(?s)(?=(.{{{k}}})\\1{{{least - 1}}})", window)}:
-            if len(re.findall(f"(?={re.escape(unit)})", whole)) >= least:
-                out[unit] = sum(len(m[0]) for m in re.finditer(f"(?:{re.escape(unit)}){{{least},}}", window))
+        ends: dict[tuple[int, str], int] = {}  # where a unit's last run ends
+        for a, b in stretches(whole, k, least * k):
+            i = int(np.searchsorted(starts, a, side="right")) - 1
+            s, a, b = windows[i], a - int(starts[i]), b - int(starts[i])
+            tried = set()
+            # all rotations begin within k places, or within k more where a run of the stretch before reaches into this one
+            for at in range(a, min(b - least * k + 1, a + 2 * k)):
+                unit = s[at : at + k]
+                if unit in tried or at < ends.get((i, unit), 0):
+                    continue
+                tried.add(unit)
+                n = (b - at) // k * k
+                out[i][unit], ends[i, unit] = out[i].get(unit, 0) + n, at + n
     return out
 
 
@@ -101,14 +128,23 @@ def hairpin_delta(ref: Column, alt: Column) -> Column:
     return F.pandas_udf(run, "int")(ref, alt)
 
 
-def repeat_changes(whole_ref: Column, whole_alt: Column, ref: Column, alt: Column, config: Config = DEFAULT) -> Column:
-    """A struct of REPEATS.  Nulls count as empty."""
+def repeat_changes(ref: Column, alt: Column, config: Config = DEFAULT) -> Column:
+    """A struct of REPEATS, from the windows of both alleles.  Nulls count as empty."""
 
-    def run(p: pd.Series, q: pd.Series, a: pd.Series, b: pd.Series) -> pd.DataFrame:
-        rows = [repeat_instability(tandem_runs(w, x, config), tandem_runs(v, y, config)) for w, v, x, y in zip(p.fillna(""), q.fillna(""), a.fillna(""), b.fillna(""))]
+    def run(a: pd.Series, b: pd.Series) -> pd.DataFrame:
+        rows = [repeat_instability(x, y) for x, y in zip(*(tandem_runs(s.fillna("").tolist(), config) for s in (a, b)))]
         return pd.DataFrame(rows, columns=REPEATS)
 
-    return F.pandas_udf(run, ", ".join(f"{c} int" for c in REPEATS))(whole_ref, whole_alt, ref, alt)
+    return F.pandas_udf(run, ", ".join(f"{c} int" for c in REPEATS))(ref, alt)
+
+
+def tandem_units(window: Column, config: Config = DEFAULT) -> Column:
+    """An array of (unit, bases) of the runs of a window, by unit.  Nulls count as empty."""
+
+    def run(s: pd.Series) -> pd.Series:
+        return pd.Series([[{"unit": u, "bases": n} for u, n in sorted(x.items())] for x in tandem_runs(s.fillna("").tolist(), config)])
+
+    return F.pandas_udf(run, "array<struct<unit: string, bases: bigint>>")(window)
 
 
 #: Cells of the table of substrings that are sorted together.

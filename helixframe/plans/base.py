@@ -8,10 +8,11 @@ from pyspark.sql import functions as F
 from ..functions import dna, motif, paths, protein
 from ..functions.constants import CODONS, GENE_DENSITY, HELIX, INTRON, NUCLEAR_EXPORT, NUCLEAR_LOCALIZATION, POLY_TRACTS, PROPERTIES, RESIDUES, SHEET, START, STOP, SUBGROUPS, TURN, stacking_energies
 from ..operators.motifs import DNA_MOTIFS, DNA_THRESHOLD, PROTEIN_MOTIFS, PROTEIN_THRESHOLD
+from ..operators.structure import tandem_units
 from ..operators.viterbi import viterbi
 from ..sources import fasta, matrices
 from ..sources.variants import CLINICAL_COLUMNS, VARIANTS_SQL, chromosome_number, clinical_filter, drop_literal_na, from_orders, label
-from .sequence_sql import decoded
+from .sequence_sql import REPEAT_RUNS, decoded
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -236,57 +237,53 @@ def _(v):
     return w.select("variant_id", dna.duplications(c("r"), c("a")).cast("long").alias("duplications"))
 
 
-# ---- repeats: relational form, on the alleles' own units ----
-
-REPEAT_SQL = """WITH sides AS (SELECT variant_id, 'ref' AS side, ref_allele AS s FROM v UNION ALL SELECT variant_id, 'alt', alt_allele FROM v),
-units AS (SELECT variant_id, side, s, unnest(flatten(list_transform(range(2, 7), lambda k: list_transform(range(1, greatest(length(s) - k + 2, 1)), lambda i: substr(s, i::INT, k::INT))))) AS unit FROM sides),
-often AS (SELECT variant_id, side, s, unit FROM units GROUP BY ALL HAVING count(*) >= 5),
-runs AS (SELECT variant_id, side, unit, coalesce(list_sum(list_transform(regexp_extract_all(s, '(?:' || unit || '){5,}'), lambda x: length(x))), 0)::BIGINT AS bases FROM often),
-found AS (SELECT * FROM runs WHERE bases > 0)
-"""
+# ---- repeats: units and their bases as arrays of a row ----
 
 
-def repeat_runs(v: DataFrame) -> DataFrame:
-    """(variant_id, side, unit, bases): runs of five and more of units that the allele has five times."""
-    sides = F.array(F.struct(F.lit("ref").alias("side"), c(ref).alias("s")), F.struct(F.lit("alt").alias("side"), c(alt).alias("s")))
-    units = F.flatten(F.transform(F.sequence(F.lit(2), F.lit(6)), lambda k: F.transform(dna.places(F.length("s") - k + 1), lambda i: F.substr("s", i, k))))
-    rows = v.select("variant_id", F.explode(sides).alias("x")).select("variant_id", "x.side", "x.s").select("variant_id", "side", "s", F.explode(units).alias("unit"))
-    often = rows.groupBy("variant_id", "side", "s", "unit").count().where("count >= 5")
-    runs = F.regexp_extract_all("s", F.concat(F.lit("(?:"), "unit", F.lit("){5,}")), F.lit(0))
-    bases = F.aggregate(runs, F.lit(0), lambda t, x: t + F.length(x)).cast("long")
-    return often.select("variant_id", "side", "unit", bases.alias("bases")).where("bases > 0")
+def over_runs(text: str) -> str:
+    """SQL over the runs of both windows."""
+    return "WITH " + REPEAT_RUNS[2:] + text
 
 
-@query("tandem_repeats", REPEAT_SQL + "SELECT * FROM found")
-def _(v):
-    return repeat_runs(v)
+def repeat_units(v: DataFrame) -> DataFrame:
+    """variant_id and the runs of both windows, `r` and `a`: maps from unit to bases."""
+    units = lambda s: F.map_from_entries(tandem_units(window(s)))
+    return v.select("variant_id", units(ref).alias("r"), units(alt).alias("a"))
 
 
-def repeat_pairs(v: DataFrame) -> DataFrame:
-    runs = repeat_runs(v)
-    side = lambda s: runs.where(c("side") == s).select("variant_id", "unit", c("bases").alias(s))
-    return side("ref").join(side("alt"), ["variant_id", "unit"], "full")
-
-
-PAIRS_SQL = REPEAT_SQL + ", pairs AS (SELECT variant_id, unit, max(bases) FILTER (WHERE side = 'ref') AS r, max(bases) FILTER (WHERE side = 'alt') AS a FROM found GROUP BY ALL)\n"
+@query("tandem_repeats", over_runs("SELECT variant_id, CASE side WHEN 'r' THEN 'ref' ELSE 'alt' END AS side, unit, n::BIGINT AS bases FROM runs"))
+def _(v):
+    sides = F.array(F.struct(F.lit("ref").alias("side"), c("r").alias("units")), F.struct(F.lit("alt").alias("side"), c("a").alias("units")))
+    rows = repeat_units(v).select("variant_id", F.explode(sides).alias("x"))
+    return rows.select("variant_id", "x.side", F.explode("x.units").alias("unit", "bases"))
 
 
-@query("repeat_sets", PAIRS_SQL + "SELECT variant_id, count(*) FILTER (WHERE a IS NULL) AS lost, count(*) FILTER (WHERE r IS NULL) AS gained, count(*) FILTER (WHERE a IS NOT NULL AND r IS NOT NULL) AS shared FROM pairs GROUP BY ALL")
+@query("repeat_sets", over_runs("""SELECT variant_id, count(*) FILTER (unit IS NOT NULL AND after IS NULL) AS lost, count(*) FILTER (unit IS NOT NULL AND before IS NULL) AS gained, count(*) FILTER (before IS NOT NULL AND after IS NOT NULL) AS shared
+  FROM v LEFT JOIN (SELECT variant_id, k AS unit, before, after FROM both_sides) USING (variant_id) GROUP BY variant_id"""))
 def _(v):
-    counts = {"lost": c("alt").isNull(), "gained": c("ref").isNull(), "shared": c("ref").isNotNull() & c("alt").isNotNull()}
-    return repeat_pairs(v).groupBy("variant_id").agg(*[F.count_if(x).alias(k) for k, x in counts.items()])
+    r, a = F.map_keys("r"), F.map_keys("a")
+    sizes = {"lost": F.array_except(r, a), "gained": F.array_except(a, r), "shared": F.array_intersect(r, a)}
+    return repeat_units(v).select("variant_id", *[F.size(x).cast("long").alias(k) for k, x in sizes.items()])
 
 
-@query("repeat_instability", PAIRS_SQL + """SELECT variant_id, (count(a) - count(r))::BIGINT AS microsatellites, sum(coalesce(a, 0) - coalesce(r, 0) + 2 * CASE WHEN a IS NULL THEN r ELSE 0 END)::BIGINT AS base_composite,
-  coalesce(sum(greatest(a - r, 0)) FILTER (WHERE a IS NOT NULL AND r IS NOT NULL), 0)::BIGINT AS expansion, coalesce(sum(greatest(r - a, 0)) FILTER (WHERE a IS NOT NULL AND r IS NOT NULL), 0)::BIGINT AS contraction, (sum(CASE WHEN a IS NULL OR r IS NULL THEN 1 ELSE 0 END) + sum(length(unit) * abs(coalesce(a, 0) - coalesce(r, 0))))::BIGINT AS composite FROM pairs GROUP BY ALL""")
+@query("repeat_instability", over_runs("""SELECT variant_id, (count(after) - count(before))::BIGINT AS microsatellites,
+  coalesce(sum(CASE WHEN unit IS NOT NULL THEN coalesce(after, 0) - coalesce(before, 0) + 2 * CASE WHEN after IS NULL THEN before ELSE 0 END END), 0)::BIGINT AS base_composite,
+  coalesce(sum(greatest(after - before, 0)) FILTER (before IS NOT NULL AND after IS NOT NULL), 0)::BIGINT AS expansion, coalesce(sum(greatest(before - after, 0)) FILTER (before IS NOT NULL AND after IS NOT NULL), 0)::BIGINT AS contraction,
+  coalesce(count(unit) FILTER (before IS NULL OR after IS NULL) + sum(unit * abs(coalesce(after, 0) - coalesce(before, 0))), 0)::BIGINT AS composite
+  FROM v LEFT JOIN (SELECT variant_id, k AS unit, before, after FROM both_sides) USING (variant_id) GROUP BY variant_id"""))
 def _(v):
-    r, a, unit = c("ref"), c("alt"), F.length("unit")
-    zero = lambda x: F.coalesce(x, F.lit(0))
-    both = r.isNotNull() & a.isNotNull()
-    return repeat_pairs(v).groupBy("variant_id").agg(
-        (F.count("alt") - F.count("ref")).alias("microsatellites"), F.sum(zero(a) - zero(r) + 2 * F.when(a.isNull(), r).otherwise(0)).alias("base_composite"),
-        F.sum(F.when(both, F.greatest(a - r, F.lit(0))).otherwise(0)).alias("expansion"), F.sum(F.when(both, F.greatest(r - a, F.lit(0))).otherwise(0)).alias("contraction"),
-        (F.count_if(~both) + F.sum(unit * F.abs(zero(a) - zero(r)))).alias("composite"),
+    units = F.array_union(F.map_keys("r"), F.map_keys("a"))
+    pairs = F.transform(units, lambda u: F.struct(F.length(u).cast("long").alias("k"), F.try_element_at("r", u).alias("before"), F.try_element_at("a", u).alias("after")))
+    zero = lambda x: F.coalesce(x, F.lit(0).cast("long"))
+    both = lambda p: p["before"].isNotNull() & p["after"].isNotNull()
+    shift = lambda p: zero(p["after"]) - zero(p["before"])
+    total = lambda f: F.aggregate("pairs", F.lit(0).cast("long"), lambda t, p: t + f(p))
+    return repeat_units(v).select("variant_id", "r", "a", pairs.alias("pairs")).select(
+        "variant_id", (F.size("a") - F.size("r")).cast("long").alias("microsatellites"),
+        total(lambda p: shift(p) + 2 * F.when(p["after"].isNull(), p["before"]).otherwise(0)).alias("base_composite"),
+        total(lambda p: F.when(both(p), F.greatest(shift(p), F.lit(0))).otherwise(0)).alias("expansion"),
+        total(lambda p: F.when(both(p), F.greatest(-shift(p), F.lit(0))).otherwise(0)).alias("contraction"),
+        total(lambda p: F.when(both(p), 0).otherwise(1) + p["k"] * F.abs(shift(p))).alias("composite"),
     )
 
 

@@ -68,8 +68,7 @@ def _(v):
 
 @on_variants("repeat_changes", sql.REPEATS)
 def _(v):
-    whole = [F.concat(left, s, right) for s in (ref, alt)]
-    return v.select("variant_id", structure.repeat_changes(*whole, dna.buffered(ref, left, right), dna.buffered(alt, left, right)).alias("r")).select("variant_id", "r.*")
+    return v.select("variant_id", structure.repeat_changes(dna.buffered(ref, left, right), dna.buffered(alt, left, right)).alias("r")).select("variant_id", "r.*")
 
 
 @on_variants("best_orf", sql.BEST_ORF)

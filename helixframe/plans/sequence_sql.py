@@ -78,12 +78,16 @@ _SUMS = {
     "tr_weighted_expansion_score": "sum((after - before) * k) FILTER (after > before)", "tr_weighted_contraction_score": "sum((before - after) * k) FILTER (after <= before)",
 }
 _zero = lambda *names: "(" + " + ".join(f"coalesce({c}, 0)" for c in names) + ")::INT"
-REPEATS = (
+REPEAT_RUNS = (
     BUFFERED
     + f""", units AS (SELECT DISTINCT variant_id, side, s, unnest(flatten([{_units}])) AS unit FROM w),
 runs AS (SELECT variant_id, side, unit, list_sum(list_transform(regexp_extract_all(s, '(?:' || unit || '){{{_least},}}'), lambda q: length(q))) AS n FROM units),
-both_sides AS (SELECT variant_id, length(unit) AS k, r.n AS before, a.n AS after FROM (FROM runs WHERE side = 'r') AS r FULL JOIN (FROM runs WHERE side = 'a') AS a USING (variant_id, unit)),
-sums AS (SELECT variant_id, {', '.join(f'{x} AS {c}' for c, x in _SUMS.items())}, sum(after - before) AS shift FROM both_sides GROUP BY variant_id)
+both_sides AS (SELECT variant_id, length(unit) AS k, r.n AS before, a.n AS after FROM (FROM runs WHERE side = 'r') AS r FULL JOIN (FROM runs WHERE side = 'a') AS a USING (variant_id, unit))
+"""
+)
+REPEATS = (
+    REPEAT_RUNS
+    + f""", sums AS (SELECT variant_id, {', '.join(f'{x} AS {c}' for c, x in _SUMS.items())}, sum(after - before) AS shift FROM both_sides GROUP BY variant_id)
 SELECT variant_id, {', '.join(f'{_zero(c)} AS {c}' for c in _SUMS)}, {_zero('tr_bp_gain', 'tr_bp_loss', 'shift')} AS tr_base_composite,
   {_zero('tr_loci_lost', 'tr_loci_gain', *[c for c in _SUMS if 'weighted' in c])} AS tr_composite_score FROM v LEFT JOIN sums USING (variant_id)"""
 )

@@ -125,25 +125,31 @@ def test_hairpins(sequences, together):
         assert structure.hairpins(sequences).tolist() == [brute_hairpins(s) for s in sequences]
 
 
-@settings(max_examples=100, deadline=None)
-@given(st.text("AC", max_size=60), st.integers(0, 10))
-def test_tandem_runs_as_counts(whole, cut):
-    """Units counted one by one in the whole sequence, runs sought in the window."""
-    window, want = whole[cut:], {}
-    for unit in {whole[i : i + k] for k in range(2, 7) for i in range(len(whole) - k + 1)}:
-        if sum(whole[i : i + len(unit)] == unit for i in range(len(whole))) >= 5 and unit * 5 in window:
-            i = n = 0
-            while i < len(window):
-                run = 0
-                while window.startswith(unit * (run + 1), i):
-                    run += 1
-                n, i = (n + run * len(unit), i + run * len(unit)) if run >= 5 else (n, i + 1)
-            want[unit] = n
-    assert structure.tandem_runs(whole, window) == want
+UNITS = st.lists(st.tuples(st.text("AC", min_size=1, max_size=6), st.integers(1, 9)), max_size=5).map(lambda x: "".join(u * n for u, n in x))
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.one_of(st.text("AC", max_size=60), UNITS), max_size=4))
+def test_tandem_runs_as_counts(windows):
+    """Units counted one by one, runs sought from the left."""
+    wanted = []
+    for window in windows:
+        want = {}
+        for unit in {window[i : i + k] for k in range(2, 7) for i in range(len(window) - k + 1)}:
+            if sum(window[i : i + len(unit)] == unit for i in range(len(window))) >= 5 and unit * 5 in window:
+                i = n = 0
+                while i < len(window):
+                    run = 0
+                    while window.startswith(unit * (run + 1), i):
+                        run += 1
+                    n, i = (n + run * len(unit), i + run * len(unit)) if run >= 5 else (n, i + 1)
+                want[unit] = n
+        wanted.append(want)
+    assert structure.tandem_runs(windows) == wanted
 
 
 def test_repeats():
-    before, after = structure.tandem_runs("CA" * 6, "CA" * 6), structure.tandem_runs("CA" * 8 + "TG" * 5, "CA" * 8 + "TG" * 5)
+    before, after = structure.tandem_runs(["CA" * 6, "CA" * 8 + "TG" * 5])
     assert before == {"CA": 12, "AC": 10} and after["CA"] == 16 and after["TG"] == 10
     x = structure.repeat_instability(before, after)
     assert x["tr_loci_gain"] == len(after) - 2 and x["tr_expansion_score"] == (16 - 12) + (after["AC"] - 10)
