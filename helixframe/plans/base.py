@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import dna, motif, paths, protein
 from ..functions.constants import CODONS, GENE_DENSITY, HELIX, INTRON, NUCLEAR_EXPORT, NUCLEAR_LOCALIZATION, POLY_TRACTS, PROPERTIES, RESIDUES, SHEET, START, STOP, SUBGROUPS, TURN, stacking_energies
 from ..operators.motifs import DNA_MOTIFS, DNA_THRESHOLD, PROTEIN_MOTIFS, PROTEIN_THRESHOLD
-from ..operators.structure import tandem_units
+from ..operators.structure import entropy_delta, tandem_units
 from ..operators.viterbi import viterbi
 from ..sources import fasta, matrices
 from ..sources.variants import CLINICAL_COLUMNS, VARIANTS_SQL, chromosome_number, clinical_filter, drop_literal_na, from_orders, label
@@ -225,9 +225,7 @@ def _(v):
 @query("kmer_entropy_delta", KMER_SQL + """, t AS (SELECT *, n / sum(n) OVER (PARTITION BY variant_id, side) AS p FROM counts), e AS (SELECT variant_id, -sum(CASE side WHEN 'alt' THEN p * log2(p) ELSE -p * log2(p) END) AS delta FROM t GROUP BY ALL)
 SELECT v.variant_id, round(coalesce(delta, 0), 6) + 0.0 AS delta FROM v LEFT JOIN e USING (variant_id)""")
 def _(v):
-    n = kmer_counts(v).groupBy("variant_id", "side").agg(F.sum("n").alias("t"), F.sum(c("n") * F.log2("n")).alias("s"))
-    e = n.groupBy("variant_id").agg(F.sum((F.log2("t") - c("s") / c("t")) * F.when(c("side") == "alt", 1).otherwise(-1)).alias("delta"))
-    return v.select("variant_id").join(e, "variant_id", "left").select("variant_id", (r6(F.coalesce("delta", F.lit(0.0))) + 0.0).alias("delta"))
+    return v.select("variant_id", (r6(entropy_delta(ref, alt)) + 0.0).alias("delta"))
 
 
 @query("tandem_duplications", f"""WITH w AS (SELECT variant_id, {window_sql(ref)} AS r, {window_sql(alt)} AS a FROM v)

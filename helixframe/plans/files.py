@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..config import DEFAULT
@@ -10,7 +10,7 @@ from ..functions.constants import IUPAC, RESIDUES, SYMBOLS
 from ..operators import align, motifs
 from ..scratch import new_path
 from ..sources import genome, matrices, variant_fasta
-from ..sources.variants import VARIANTS_SQL, from_orders
+from ..sources.variants import VARIANTS_SQL, fasta_text, from_orders
 from . import features
 from .base import FASTA_SQL, GENOME_SQL, placed_variants
 from .sequence_sql import FRAMES, cluster_sum, hit_list, sides
@@ -29,14 +29,6 @@ def on_variants(name: str, oracle: str | None = None):
     return register
 
 
-def fasta_text(width: int = 60) -> Column:
-    """The tagged records of a variant, flanks before alleles, in lines of one width; the later lines in lower case."""
-    parts = [("flank_2", "flank_2"), ("alt", "alt_allele"), ("flank1", "flank_1"), ("ref", "ref_allele")]
-    body = lambda c: F.concat(F.left(c, F.lit(width)), F.lit("\n"), F.lower(F.substr(c, F.lit(width + 1))))
-    head = lambda tag: F.concat(F.lit(">chr"), F.col("chromosome").cast("string"), F.lit(f"|{tag}|v"), F.col("variant_id").cast("string"), F.lit("\n"))
-    return F.concat_ws("\n", *[F.concat(head(tag), body(F.col(c))) for tag, c in parts])
-
-
 #: So small that a file spans many splits, which begin within records and within variants.
 SPLIT = 150_000
 

@@ -4,14 +4,15 @@ from __future__ import annotations
 
 import json
 import random
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier
-from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.functions import vector_to_array
+from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.util import inheritable_thread_target
 
 from ..config import DEFAULT, Config
 
@@ -112,8 +113,9 @@ def confusion(df: DataFrame, label: str, predicted: str) -> DataFrame:
 
 def variances(df: DataFrame, features: list[str]) -> DataFrame:
     """(feature, variance) from one pass."""
-    one = df.agg(*[F.var_samp(F.col(f"`{c}`")).alias(c) for c in features])
-    return one.unpivot([], features, "feature", "variance")
+    one = df.agg(*[F.var_samp(F.col(f"`{c}`")).alias(f"_{i}") for i, c in enumerate(features)])
+    pairs = F.array(*[F.struct(F.lit(c).alias("feature"), F.col(f"_{i}").alias("variance")) for i, c in enumerate(features)])
+    return one.select(F.explode(pairs).alias("p")).select("p.feature", "p.variance")
 
 
 def variance_sift(df: DataFrame, features: list[str], least: float) -> list[str]:
@@ -130,17 +132,19 @@ def train(df: DataFrame, features: list[str], label: str = "label", rounds: int
     trees = GBTClassifier(labelCol=label, maxIter=rounds, maxDepth=depth, stepSize=step, subsamplingRate=share, seed=seed)
     if held:
         trees = trees.setValidationIndicatorCol(held)
-    return Pipeline(stages=[VectorAssembler(inputCols=features, outputCol="features"), trees]).fit(filled(df, features))
+    return Pipeline(stages=[trees]).fit(assembled(df, features))
 
 
-def filled(df: DataFrame, features: list[str]) -> DataFrame:
-    return df.withColumns({c: F.nanvl(F.coalesce(F.col(f"`{c}`").cast("double"), F.lit(0.0)), F.lit(0.0)) for c in features})
+def assembled(df: DataFrame, features: list[str]) -> DataFrame:
+    """df with the features as one vector; their names may hold dots."""
+    values = [F.nanvl(F.coalesce(F.col(f"`{c}`").cast("double"), F.lit(0.0)), F.lit(0.0)) for c in features]
+    return df.withColumn("features", array_to_vector(F.array(*values)))
 
 
 def score(model: PipelineModel, df: DataFrame, features: list[str], threshold: float = DEFAULT.threshold) -> DataFrame:
     """df with prob_benign, prob_pathogenic and predicted."""
     p = vector_to_array("probability")
-    out = model.transform(filled(df, features))
+    out = model.transform(assembled(df, features))
     return classify(out.withColumns({"prob_benign": p[0], "prob_pathogenic": p[1]}), "prob_pathogenic", threshold).drop("features", "rawPrediction", "probability", "prediction")
 
 
@@ -156,17 +160,29 @@ class Scores:
         return self.roc + self.pr + self.f1
 
 
+#: Fits that are driven at once; each is a sequence of small jobs, between which executors would idle.
+FITS_AT_ONCE = 4
+
+
+def at_once(spark: SparkSession, f, items) -> list:
+    """f of each item, several at a time, in threads that share the session."""
+    with ThreadPoolExecutor(FITS_AT_ONCE) as pool:
+        return list(pool.map(inheritable_thread_target(spark)(f), items))
+
+
 def cross_validation(df: DataFrame, features: list[str], k: int = 3, key: str = "variant_id", label: str = "label", rounds: int = 10, **parameters) -> Scores:
     """Mean metrics and importances over stratified folds.  parameters: of train()."""
     dealt = folds(df, key, label, k).cache()
-    found = []
-    for i in range(k):
+
+    def one(i: int) -> Scores:
         model = train(dealt.where(F.col("fold") != i), features, label, rounds, **parameters)
         held = score(model, dealt.where(F.col("fold") == i), features).select(label, "prob_pathogenic").cache()
         parts = [f(held, "prob_pathogenic", label).first() for f in (roc_auc, pr_auc, best_f1)]
         weight = model.stages[-1].featureImportances.toArray()
-        found.append(Scores(*[p[0] or 0.0 for p in parts], dict(zip(features, map(float, weight)))))
         held.unpersist()
+        return Scores(*[p[0] or 0.0 for p in parts if p], dict(zip(features, map(float, weight))))
+
+    found = at_once(df.sparkSession, one, range(k))
     dealt.unpersist()
     mean = lambda f: sum(map(f, found)) / len(found)
     return Scores(mean(lambda s: s.roc), mean(lambda s: s.pr), mean(lambda s: s.f1), {c: mean(lambda s, c=c: s.importance[c]) for c in features})
@@ -207,15 +223,23 @@ def evaluate(df: DataFrame, features: list[str], key: str = "variant_id", label:
     return Evaluation(model, means | parts | wrong | best | {"rounds": float(model.stages[-1].getNumTrees)}, table)
 
 
-def random_search(df: DataFrame, features: list[str], trials: int = 20, k: int = 5, seed: int = 42, **columns) -> tuple[dict, float]:
-    """(parameters of train(), mean F1 over folds) of the best of some random draws; the first of equal ones."""
+def successive_halving(df: DataFrame, features: list[str], trials: int = 9, keep: int = 3, rounds: int = 3, k: int = 3, seed: int = 42, **columns) -> list[dict]:
+    """A row for each trial at each rung, with its parameters of train() and its mean F1 over folds.
+
+    The first rung tries seeded random parameters with few rounds of boosting; each next one gives the best 1 / keep of them
+    keep times the rounds, until one is left.  Of equal ones the first drawn goes on.
+    """
     draw = random.Random(seed)
-    best: tuple[dict, float] = ({}, -1.0)
-    for _ in range(trials):
-        tried = {"rounds": draw.randint(5, 40), "depth": draw.randint(2, 7), "step": 10 ** draw.uniform(-2, -0.5), "share": draw.uniform(0.5, 1.0)}
-        found = cross_validation(df, features, k, **columns, **tried).f1
-        best = max(best, (tried, found), key=lambda x: x[1])
-    return best
+    tried = {i: {"depth": draw.randint(2, 6), "step": 10 ** draw.uniform(-2, -0.3), "share": draw.uniform(0.5, 1.0)} for i in range(trials)}
+    alive, rows, rung = list(tried), [], 0
+    while alive:
+        one = lambda i, rounds=rounds: cross_validation(df, features, k, rounds=rounds, **columns, **tried[i]).f1
+        scores = dict(zip(alive, at_once(df.sparkSession, one, alive)))
+        ranked = sorted(alive, key=lambda i: (-scores[i], i))
+        going = ranked[: max(len(ranked) // keep, 1)] if len(ranked) > 1 else []
+        rows += [{"rung": rung, "trial": i, "rounds": rounds, **tried[i], "f1": scores[i], "kept": i in going or len(ranked) == 1} for i in alive]
+        alive, rounds, rung = going, rounds * keep, rung + 1
+    return rows
 
 
 def binary_variance_search(trial, features_at, low: float = 0.0, high: float = 0.3, runs: int = 10, plateau: float = 0.005) -> tuple[float, float]:
@@ -267,6 +291,15 @@ def feature_list_json(name: str, time: str, threshold: float, features: list[str
     return json.dumps({"ModelName": name, "Time": time, "Optimal_var_threshold": threshold, "n_features": len(features), "features": features}, indent=2)
 
 
+def write_text(spark: SparkSession, text: str, path: str) -> None:
+    """One text as a folder with one file, in any store that Spark writes to."""
+    spark.createDataFrame([(text,)], "value string").coalesce(1).write.mode("overwrite").text(path)
+
+
+def read_text(spark: SparkSession, path: str) -> str:
+    return spark.read.text(path, wholetext=True).first()[0].strip()
+
+
 def read_feature_list(text: str) -> list[str]:
     return list(json.loads(text)["features"])
 

@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..config import DEFAULT
 from ..functions import dna
 from ..operators import align, incremental, motifs, orf, repair, structure, viterbi
-from ..scratch import cut
-from ..sources.variants import VARIANTS_SQL, from_orders, label
+from ..scratch import cut, new_path
+from ..sources import variant_fasta
+from ..sources.variants import VARIANTS_SQL, fasta_text, from_orders, label, spread
 from . import features, learning
 from . import sequence_sql as sql
 from .base import energy
@@ -186,6 +188,65 @@ def _(v):
     return v.sparkSession.createDataFrame([(threshold, score, len(at(threshold)))], "threshold double, score double, features int")
 
 
+@on_variants("hyper_search")
+def _(v):
+    """Parameters by successive halving: nine seeded draws with 2 rounds, the best three with 6, the best one with 18."""
+    rows = learning.successive_halving(labelled(v), MODEL_FEATURES, rounds=2, k=2)
+    return v.sparkSession.createDataFrame(rows, "rung int, trial int, rounds int, depth int, step double, share double, f1 double, kept boolean")
+
+
+# ---- models on the whole profile ----
+
+#: The least variance of a feature that a model of the profile tries.
+PROFILE_VARIANCE = 0.1125
+
+
+def profile(v: DataFrame) -> DataFrame:
+    """The whole fingerprint, by name of the variant."""
+    return features.fingerprint(v)
+
+
+def profile_model(v: DataFrame, rounds: int = 5) -> tuple[PipelineModel, list[str], DataFrame]:
+    """(model, its features, labelled fingerprints): features of enough variance that a first fit uses, then a fit on them."""
+    known = v.where(F.col("clinical_significance").isin("Benign", "Pathogenic"))
+    shifted = known.withColumn("label", F.when((F.length(alt) - F.length(ref)) % 3 != 0, 1).otherwise(label(F.col("clinical_significance"))))
+    table = cut(profile(shifted))
+    names = [c for c in table.columns if c not in ("variant_id", "chromosome", "clinical_significance", "label")]
+    varied = learning.variance_sift(table, names, PROFILE_VARIANCE)
+    first = learning.train(table, varied, rounds=rounds)
+    weights = dict(zip(varied, first.stages[-1].featureImportances.toArray()))
+    chosen = [c for c in varied if weights[c] > 0] or varied[:1]
+    return learning.train(table, chosen, rounds=rounds), chosen, table
+
+
+@on_variants("profile_selection")
+def _(v):
+    """The features that a model of the whole profile keeps, and their importances in it."""
+    model, chosen, _table = profile_model(v)
+    weights = model.stages[-1].featureImportances.toArray()
+    return v.sparkSession.createDataFrame([(c, float(w)) for c, w in zip(chosen, weights)], "feature string, importance double")
+
+
+def screen(spark, fasta: str, model: str, listed: str) -> DataFrame:
+    """name, predicted, prob_benign and prob_pathogenic of the variants of FASTA files, by a saved model and its feature list."""
+    chosen = learning.read_feature_list(learning.read_text(spark, listed))
+    made = profile(spread(variant_fasta.read_variants(spark, fasta)))
+    features.select_features(made, chosen)  # names what is missing
+    return learning.score(PipelineModel.load(model), made, chosen).select("name", "predicted", "prob_benign", "prob_pathogenic")
+
+
+@on_variants("fasta_predictions")
+def _(v):
+    """FASTA to predictions: the benign and pathogenic variants train a model that is saved with its list; all are written as FASTA and scored."""
+    spark = v.sparkSession
+    fasta, model, listed = (new_path(spark, n) for n in ("screen", "model", "features"))
+    made, chosen, _table = profile_model(v)
+    made.write().save(model)
+    learning.write_text(spark, learning.feature_list_json("profile", "", PROFILE_VARIANCE, chosen), listed)
+    v.select(fasta_text()).write.text(fasta)
+    return screen(spark, fasta, model, listed)
+
+
 # ---- the allele optimizer ----
 
 EDITS_SQL = (
