@@ -13,6 +13,8 @@ dealt in blocks of bounded size, so a list that holds a third of all rows is man
 
 Vectors that take no part are neither queries nor candidates.  Rows that repeat an id are one vector, the smallest by
 component order; a vector is not its own candidate.  Ties go to the smaller vec_id.  With fewer candidates than wanted all are returned.
+Vectors of doubles whose squares could overflow or vanish are searched scaled by one power of two: they are ranked by the scaled
+products, and a score that no double holds is infinite.
 """
 
 from __future__ import annotations
@@ -34,6 +36,8 @@ LIST_ROWS, MOST_LISTS, BLOCK_ROWS, QUERY_ROWS, COLUMNS = 512, 1024, 1024, 1024,
 RECALL, CERTAINTY, BOUND_ROWS, LOOSE = 0.975, 2.4, 4096, 2
 
 
+#: Largest components between which vectors are taken as they are.
+SAFE = (2.0**-200, 2.0**400)
 #: One of so many probed lists is scanned in the first round.
 FIRST_LISTS = 8
 
@@ -220,11 +224,25 @@ def search(vectors: DataFrame, queries: DataFrame, k: int, recall: float = RECAL
     """
     candidates, asked, found = one_each(usable(vectors)), one_each(usable(queries)), None
     for some, d, _ in by_length(candidates):
-        made = search_usable(some, asked.where(F.size("embedding") == d), k, recall)
+        own = asked.where(F.size("embedding") == d)
+        scale = scale_of(some.unionByName(own)) if as_numpy(some) is np.float64 else 1.0
+        if scale != 1.0:
+            some, own = (x.withColumn("embedding", F.transform("embedding", lambda c: c * scale)) for x in (some, own))
+        made = search_usable(some, own, k, recall)
+        if scale != 1.0:
+            made = made.withColumn("score", F.col("score") / scale / scale)
         found = made if found is None else found.unionByName(made)
     return vectors.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double") if found is None else found
 
 
+def scale_of(vectors: DataFrame) -> float:
+    """A power of two that brings the largest component near 1 if squares of components could overflow or vanish; else 1."""
+    peak = vectors.agg(F.max(F.array_max(F.transform("embedding", F.abs)))).first()[0]
+    if not peak or SAFE[0] < peak < SAFE[1]:
+        return 1.0
+    return float(2.0 ** -np.clip(np.floor(np.log2(peak)), -1022, 1022))
+
+
 def ranked(found: DataFrame, k: int) -> DataFrame:
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)

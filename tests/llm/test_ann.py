@@ -74,3 +74,16 @@ def test_doubles_and_short_results(spark, monkeypatch):
         want = brute(x, np.arange(400), range(0, 400, 20), 7)
         assert all(len(got[q]) == 7 for q in want)
         assert np.mean([len({r.vec_id for r in got[q]} & set(want[q])) / 7 for q in want]) >= 0.9
+
+
+@pytest.mark.parametrize("size", [1e200, 1e-200, 1e308])
+def test_huge_and_tiny_doubles(spark, size):
+    """Components whose squares overflow or vanish lose no row and no order."""
+    rng = np.random.default_rng(5)
+    x = rng.uniform(0.1, 1, size=(60, 6))
+    vectors = spark.createDataFrame([(i, [float(c) * size for c in r]) for i, r in enumerate(x)], "vec_id long, embedding array<double>")
+    got = {}
+    for r in sorted(ann.search(vectors, vectors.where("vec_id % 20 = 0"), 5).collect(), key=lambda r: (r.query_id, r["rank"])):
+        got.setdefault(r.query_id, []).append(r.vec_id)
+        assert r.score == (np.inf if size > 1 else 0.0) or size == 1e-200
+    assert got == brute(x, np.arange(60), (0, 20, 40), 5)
