@@ -109,17 +109,26 @@ def inherited(above: np.ndarray, row: Row, first: np.ndarray | int, step: np.nda
 
 
 def summed(x: np.ndarray, y: np.ndarray, sizes: tuple[np.ndarray, np.ndarray], pair, gap: int, local: bool) -> Summed:
-    """Scores and counts in two rows.  pair: as aligned() has it."""
-    n, (rows, columns) = len(x), (x.shape[1], y.shape[1])
+    """Scores and counts in two rows.  pair: as aligned() has it.
+
+    Pairs are ordered by the length of their first sequence, so that those that still have symbols are always the first ones.
+    """
+    order = np.argsort(-sizes[0], kind="stable")
+    x, y, (m, k) = x[order], y[order], (s[order].astype(np.int64) for s in sizes)
+    n, columns = len(x), y.shape[1]
     fall = gap * np.arange(columns + 1, dtype=np.int32)
     score = np.tile(np.zeros_like(fall) if local else fall, (n, 1))
     counts = np.zeros((n, columns + 1), dtype=np.int64)  # matches << SHIFT | mismatches
     starts = np.tile(np.arange(columns + 1, dtype=np.int64), (n, 1)) if local else None  # row << SHIFT | column
-    each, inside = np.arange(n), np.arange(columns + 1) <= sizes[1][:, None]
-    top = np.where(sizes[0] == 0, 0 if local else score[each, sizes[1]], 0).astype(np.int32)
-    end = (np.zeros(n, dtype=np.int64), np.zeros(n, dtype=np.int64)) if local else (sizes[0].astype(np.int64), sizes[1].astype(np.int64))
+    each, outside = np.arange(n), np.arange(columns + 1) > k[:, None]
+    top = np.zeros(n, dtype=np.int32) if local else score[each, k]
+    end = (np.zeros(n, dtype=np.int64), np.zeros(n, dtype=np.int64)) if local else (m, k)
     kept, begun = np.zeros(n, dtype=np.int64), np.zeros(n, dtype=np.int64)
-    for i in range(1, rows + 1):
+    for i in range(1, int(m.max(initial=0)) + 1):
+        if m[n - 1] < i:
+            n = int(np.searchsorted(-m, -i, side="right"))
+            x, y, score, counts, outside, each = x[:n], y[:n], score[:n], counts[:n], outside[:n], each[:n]
+            starts = starts[:n] if local else None
         symbol = x[:, i - 1]
         row = next_row(score, pair(symbol, y), 0 if local else gap * i, gap, local, fall)
         score, counts = row.score, inherited(counts, row, 0, np.where(symbol[:, None] == y, 1 << SHIFT, 1))
@@ -127,15 +136,17 @@ def summed(x: np.ndarray, y: np.ndarray, sizes: tuple[np.ndarray, np.ndarray], p
             zero = score == 0
             counts[zero] = 0
             starts = np.where(zero, (i << SHIFT) + np.arange(columns + 1, dtype=np.int64), inherited(starts, row, i << SHIFT))
-            place = np.where(inside, score, -1).argmax(1)
-            now = (sizes[0] >= i) & (score[each, place] > top)
-            end[0][now], end[1][now] = i, place[now]
+            place = np.where(outside, -1, score).argmax(1)
+            now = np.flatnonzero(score[each, place] > top[:n])
+            place = place[now]
+            end[0][now], end[1][now], begun[now] = i, place, starts[now, place]
         else:
-            now, place = sizes[0] == i, sizes[1]
-        top[now], kept[now] = score[each, place][now], counts[each, place][now]
-        if local:
-            begun[now] = starts[each, place][now]
-    return Summed(top, kept >> SHIFT, kept & LOW, (begun >> SHIFT, begun & LOW), end)
+            now = np.flatnonzero(m[:n] == i)
+            place = k[now]
+        top[now], kept[now] = score[now, place], counts[now, place]
+    back = np.empty_like(order)
+    back[order] = np.arange(len(order))
+    return Summed(top[back], kept[back] >> SHIFT, kept[back] & LOW, (begun[back] >> SHIFT, begun[back] & LOW), (end[0][back], end[1][back]))
 
 
 def way_of(x: np.ndarray, y: np.ndarray, pair, gap: int) -> np.ndarray:
@@ -225,10 +236,10 @@ PROTEIN_SCHEMA = "AA_Global_score int, AA_Global_pct double, AA_Local_score int"
 
 
 def row_groups(a: list[str], b: list[str]) -> Iterator[list[int]]:
-    """Places of pairs of like sizes whose rows, taken together, have at most CELLS / 16 cells."""
+    """Places of pairs of like widths whose rows, taken together, have at most CELLS / 64 cells."""
     group: list[int] = []
     for i in sorted(range(len(a)), key=lambda i: (len(b[i]), len(a[i]))):
-        if group and (len(group) + 1) * (len(b[i]) + 1) * 16 > CELLS:
+        if group and (len(group) + 1) * (len(b[i]) + 1) * 64 > CELLS:
             yield group
             group = []
         group.append(i)
