@@ -141,7 +141,7 @@ def labelled(v: DataFrame) -> DataFrame:
 def _(v):
     """Train on four fifths of the variants of each class, score the rest."""
     split = learning.stratified_split(labelled(v), "variant_id", "label")
-    model = learning.train(split.where("not is_test"), MODEL_FEATURES, rounds=10)
+    model = learning.train(split.where("not is_test"), MODEL_FEATURES)
     return learning.score(model, split.where("is_test"), MODEL_FEATURES).select("variant_id", "label", "prob_benign", "prob_pathogenic", "predicted")
 
 
@@ -167,7 +167,7 @@ def _(v):
 def _(v):
     """Mean importances over stratified folds, largest first."""
     spark = v.sparkSession
-    found = learning.cross_validation(labelled(v), MODEL_FEATURES, 2, rounds=5).importance
+    found = learning.cross_validation(labelled(v), MODEL_FEATURES, 5, rounds=20).importance
     return spark.createDataFrame(sorted(found.items(), key=lambda x: (-x[1], x[0])), "feature string, importance double")
 
 
@@ -281,5 +281,5 @@ def _(v):
 @on_variants("repair_loop")
 def _(v):
     """Repair of every pathogenic variant by a model of the alleles' features: copies at the end, and the alleles that reached the goal."""
-    model = learning.train(labelled(v), MODEL_FEATURES, rounds=5)
+    model = learning.train(labelled(v), MODEL_FEATURES)
     return incremental.repaired(v.where("clinical_significance = 'Pathogenic'"), incremental.compiled(model), DEFAULT)
