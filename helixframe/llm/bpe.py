@@ -4,6 +4,8 @@ Encoding runs a priority queue of merge ranks over a doubly linked list of symbo
 have changed since they were queued are stale and skipped.  Decoding joins vocabulary strings.
 
 Nulls count as empty texts; an empty text has no ids.  Texts of any length are encoded whole.
+Of equal ranks the leftmost pair is merged first.  Only doc_id and text are read, so names of other columns cannot clash;
+repeated rows give repeated, equal rows, and an empty table gives an empty one.
 """
 
 from __future__ import annotations

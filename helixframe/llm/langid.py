@@ -6,6 +6,8 @@ first, and the set with the best likelihood less a penalty for each language is
 
 A text that is null or has no letter gets `und` and score 0, as every text does if there is nothing to
 learn from.  A text of any length is used whole.  Ties go to the language that sorts first.
+Prediction reads doc_id and text only, so names of other columns cannot clash; repeated rows give repeated, equal rows, and an
+empty table gives an empty one.
 """
 
 import numpy as np

@@ -7,7 +7,9 @@ only dots, quotes or line breaks part from one in sensitive context is in that c
 a key and all parts of a dotted token count.
 
 Nulls count as empty texts, empty texts have no spans, and texts of any length are scanned whole.
-Spans are kind:start:end in code points, the end exclusive.
+Spans are kind:start:end in code points, the end exclusive; spans of one start are in the order of their kinds.
+Scanning reads doc_id and text only, so names of other columns cannot clash; repeated rows give repeated, equal rows, and an
+empty table gives an empty one.
 """
 
 import hashlib

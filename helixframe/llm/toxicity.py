@@ -6,6 +6,8 @@ sentences make a document toxic.
 
 A word's features are the word and its beginnings.  Texts that are null, empty or without words have no
 sentence and score 0.  Texts of any length are scored whole.  Without toxic rows to learn from all scores are 0.
+Scoring reads doc_id and text only, so names of other columns cannot clash; repeated rows give repeated, equal rows, and an
+empty table gives an empty one.
 """
 
 from __future__ import annotations
