@@ -1,47 +1,11 @@
-"""Position-weight matrices over single windows as column expressions, for short sequences."""
+"""Places of patterns as column expressions, for short sequences."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from ..operators.motifs import Motif
-from .dna import literal_map, places
-
-
-def window_scores(s: Column, motif: Motif) -> Column:
-    """Score of every window, in order; a window with an impossible symbol scores 0."""
-    odds, void = motif.odds()
-    values = literal_map({f"{k}{c}": None if void[k, i] else float(odds[k, i]) for k in range(motif.size) for i, c in enumerate(motif.symbols)})
-
-    def score(i: Column) -> Column:
-        letters = [F.try_element_at(values, F.concat(F.lit(str(k)), F.substr(s, i + k, F.lit(1)))) for k in range(motif.size)]
-        return F.coalesce(sum(letters[1:], letters[0]), F.lit(0.0))
-
-    return F.transform(places(F.length(s) - motif.size + 1), score)
-
-
-def gaussian_sum(scores: Column, shift: Column, start: Column, end: Column, sigma: float) -> Column:
-    """Sum of scores, weighted by a Gaussian of their place's distance to [start, end]; places are from 0 and shifted."""
-    far = lambda i: F.greatest(start - i, i - end, F.lit(0)).cast("double")
-    weighted = F.transform(scores, lambda x, i: x * F.exp(-far(i + shift) * far(i + shift) / F.lit(2.0 * sigma**2)))
-    return F.aggregate(weighted, F.lit(0.0), lambda a, x: a + x)
-
-
-def hits(scores: Column, threshold: float) -> Column:
-    """(place, score) of the windows from the threshold on."""
-    return F.filter(F.transform(scores, lambda x, i: F.struct(i.alias("place"), x.alias("score"))), lambda h: h["score"] >= threshold)
-
-
-def cluster_score(found: Column, far: int) -> Column:
-    """Neighbouring hits in the given order: their scores over their distance plus one, if they are near and rise."""
-    pairs = F.zip_with(found, F.slice(found, F.lit(2), F.greatest(F.size(found) - 1, F.lit(0))), lambda a, b: F.struct(a.alias("a"), b.alias("b")))
-
-    def value(p: Column) -> Column:
-        gap = p["b"]["place"] - p["a"]["place"]
-        return F.when((gap > 0) & (gap <= far), (p["a"]["score"] + p["b"]["score"]) / (gap + 1)).otherwise(0.0)
-
-    return F.aggregate(pairs, F.lit(0.0), lambda t, p: t + F.coalesce(value(p), F.lit(0.0)))
+from .dna import places
 
 
 def pattern_places(s: Column, patterns: list[str]) -> Column:
