@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from .config import DEFAULT
 from .functions.constants import GENE_DENSITY, stacking_energies
 from .operators import align, incremental, orf, repair, structure, viterbi
+from .operators.texts import Texts, text_udf
 
 _map = lambda values: "map(" + ", ".join(f"{k!r}, {float(v)!r}D" for k, v in values.items()) + ")"
 _strings = "array(" + ", ".join(f"'{s}'" for s in repair.appended()) + ")"
@@ -51,8 +52,8 @@ def protein_alignment(ref: pd.Series, alt: pd.Series) -> pd.DataFrame:
     return align.protein_rows(_text(ref), _text(alt), align.similarity())
 
 
-def best_protein(s: pd.Series) -> pd.DataFrame:
-    return pd.DataFrame([orf.protein(x) for x in _text(s)], columns=[f.split()[0] for f in orf.SCHEMA.split(", ")])
+def best_protein(texts: Texts) -> dict:
+    return orf.found_proteins(texts, DEFAULT.min_protein, True)
 
 
 def sequence_entropy(s: pd.Series) -> pd.Series:
@@ -70,7 +71,7 @@ def domain_path(s: pd.Series) -> pd.DataFrame:
 
 VECTORISED = {
     "dna_alignment": (dna_alignment, align.DNA_NUMBERS), "dna_alignment_texts": (dna_alignment_texts, align.DNA_TEXTS), "protein_alignment": (protein_alignment, align.PROTEIN_SCHEMA),
-    "best_protein": (best_protein, orf.SCHEMA), "sequence_entropy": (sequence_entropy, "double"), "hairpins": (hairpins, "int"), "domain_path": (domain_path, "path string, log_probability double"),
+    "sequence_entropy": (sequence_entropy, "double"), "hairpins": (hairpins, "int"), "domain_path": (domain_path, "path string, log_probability double"),
 }
 
 
@@ -93,4 +94,5 @@ def register(spark: SparkSession) -> None:
         spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION {head} RETURNS {kind} RETURN {body}")
     for name, (f, schema) in VECTORISED.items():
         spark.udf.register(name, F.pandas_udf(f, schema))
+    spark.udf.register("best_protein", text_udf(best_protein, orf.FIELDS))
     spark.udtf.register("edited", F.arrow_udtf(Edited, returnType="variant_id long, candidate string, growth int"))
